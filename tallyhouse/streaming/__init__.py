@@ -1,0 +1 @@
+"""No streaming operators: every input is a finished extract, so all work is batch."""
