@@ -47,6 +47,10 @@ def _resolved(t, variant="v3"):
     return identity.resolved_calls(_calls(t, variant))
 
 
+def _folded(rows):
+    return rows.groupBy(*[c for c in rows.columns if c != "copies"]).agg(F.sum("copies").alias("copies"))
+
+
 # --- joins --------------------------------------------------------------------
 
 
@@ -56,7 +60,8 @@ def _resolved(t, variant="v3"):
 )
 def clients_with_households(t):
     memberships = by_name_list.cleaned_memberships(t.memberships)
-    return weighted_left_join(_members(t).select("client_id", "gender"), memberships, ["client_id"])
+    rows = weighted_left_join(_members(t).select("client_id", "gender"), memberships, ["client_id"])
+    return _folded(rows)
 
 
 @query(
@@ -67,7 +72,7 @@ def clients_with_households(t):
 def calls_with_situations(t):
     calls = t.calls.select("client_id", "need_date", "need_code")
     situations = t.situations.select("client_id", F.col("event_date").alias("need_date"), "prior_situation")
-    return weighted_left_join(calls, situations, ["client_id", "need_date"])
+    return _folded(weighted_left_join(calls, situations, ["client_id", "need_date"]))
 
 
 @query(

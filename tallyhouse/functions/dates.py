@@ -23,13 +23,6 @@ def in_window(c: ColumnLike, start: Column, end: Column) -> Column:
     return on_day(c).between(start, end)
 
 
-def in_window_pushed(c: ColumnLike, start: Column, end: Column) -> Column:
-    """The same window for a timestamp column, written without a cast on the
-    column so that the Parquet reader can skip row groups by it."""
-    ts = as_column(c)
-    return (ts >= start.cast("timestamp_ntz")) & (ts < F.date_add(end, 1).cast("timestamp_ntz"))
-
-
 def completed_years(born: ColumnLike, at: ColumnLike) -> Column:
     """Age in completed years; a 29 February birthday falls on 1 March in common years."""
 

@@ -32,69 +32,91 @@ def _of_groups(long: DataFrame, groups: Sequence[str]) -> DataFrame:
     return long.filter(known).select("group", "variable", "value")
 
 
-def quantiles(
+def summary(
     long: DataFrame,
     groups: Sequence[str],
     probs: Sequence[float] = QUARTILES,
     *,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation: rows (group, variable, prob, value).
+    """Size, range, deviation and exact quantiles (linear interpolation) in one row.
+
+    Columns: group, variable, n, low, high, sd and ``quantiles``, one per prob.
 
-    A sketch brackets each wanted rank; a second pass counts what lies below the
-    bracket and tallies the values inside. Only those few distinct values are put in
-    order, so no task sees a whole group. Groups of up to ``accuracy`` rows skip the
-    bracket. A bracket that missed its rank raises an error.
+    A sketch brackets each wanted rank; a second pass counts the rows between the
+    brackets and tallies the values inside them. Only those few distinct values are put
+    in order, so no task sees a whole group. Groups of up to ``accuracy`` rows take all
+    their values as one bracket. A bracket that missed its rank raises an error.
     """
     long = _of_groups(long, groups)
+    value, n = F.col("value"), F.col("n")
     margin = 4 / accuracy
     edges = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-margin, margin)]
     pilot = long.groupBy(*KEY).agg(
         F.count("value").alias("n"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.stddev_samp("value").alias("sd"),
         F.percentile_approx("value", edges, accuracy).alias("edges"),
     )
-    small = F.col("n") <= accuracy
-    wanted = []
-    for i, p in enumerate(probs):
-        rank = (F.col("n") - 1) * F.lit(float(p))
-        wanted.append(
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                F.floor(rank).alias("rank"),
-                (rank - F.floor(rank)).alias("part"),
-                F.when(small, float("-inf")).otherwise(F.col("edges")[2 * i]).alias("low"),
-                F.when(small, float("inf")).otherwise(F.col("edges")[2 * i + 1]).alias("high"),
-            )
-        )
-    targets = pilot.select(*KEY, F.inline(F.array(*wanted)))
-    value = F.col("value")
+    known = F.when(n > accuracy, F.col("edges"))
+    inside, place = F.lit(False), F.lit(0)
+    for i in range(len(probs)):
+        first = F.coalesce(known[2 * i], F.col("low"))
+        last = F.coalesce(known[2 * i + 1], F.col("high"))
+        inside = inside | value.between(first, last)
+        place = place + (value >= first).cast("int") + (value > last).cast("int")
+    fixed = [*KEY, "n", "low", "high", "sd"]
     tally = (
-        long.join(F.broadcast(targets), KEY)
-        .filter(value <= F.col("high"))
-        .groupBy(*KEY, "prob", "rank", "part", F.when(value >= F.col("low"), value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        long.join(F.broadcast(pilot), KEY)
+        .groupBy(*fixed, place.alias("place"), F.when(inside, value).alias("value"))
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
-    running = Window.partitionBy(*KEY, "prob").orderBy(F.asc_nulls_first("value"))
-    upto = tally.withColumn("upto", F.sum("n").over(running))
-    lower = F.min(F.when(F.col("upto") > F.col("rank"), F.struct("upto", "value")))["value"]
-    upper = F.min(F.when(F.col("upto") > F.col("rank") + 1, F.struct("upto", "value")))["value"]
-    found = upto.groupBy(*KEY, "prob", "part").agg(lower.alias("lower"), upper.alias("upper"))
-    between = F.col("lower") + F.col("part") * (F.col("upper") - F.col("lower"))
-    result = F.when(F.col("part") == 0, F.col("lower")).otherwise(between)
+    running = Window.partitionBy(*KEY).orderBy("place", "value")
+    upto = F.col("upto")
+    picks = []
+    for i, p in enumerate(probs):
+        rank = (n - 1) * F.lit(float(p))
+        for side, at in (("lower", F.floor(rank)), ("upper", F.ceil(rank))):
+            first = F.min(F.when(upto > at, F.struct("upto", "value")))
+            picks.append(first["value"].alias(f"{side}{i}"))
+    found = tally.withColumn("upto", F.sum("rows").over(running)).groupBy(*fixed).agg(*picks)
     missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
-    return found.select(*KEY, "prob", F.coalesce(result, missed).alias("value"))
+    results = []
+    for i, p in enumerate(probs):
+        rank = (n - 1) * F.lit(float(p))
+        lower, upper = F.col(f"lower{i}"), F.col(f"upper{i}")
+        results.append(F.coalesce(lower + (rank - F.floor(rank)) * (upper - lower), missed))
+    return found.select(*fixed, F.array(*results).alias("quantiles"))
+
+
+def quantiles(
+    long: DataFrame,
+    groups: Sequence[str],
+    probs: Sequence[float] = QUARTILES,
+    *,
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """Exact quantiles: rows (group, variable, prob, value)."""
+    rows = [
+        F.struct(F.lit(float(p)).alias("prob"), F.col("quantiles")[i].alias("value"))
+        for i, p in enumerate(probs)
+    ]
+    return summary(long, groups, probs, accuracy=accuracy).select(*KEY, F.inline(F.array(*rows)))
+
+
+def _named_quartiles(q: str) -> list[Column]:
+    return [F.col(q)[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))]
 
 
 def quartile_table(long: DataFrame, groups: Sequence[str], *, approximate: bool = False) -> DataFrame:
     """Median and quartiles per (group, variable): q1, median, q3."""
     if approximate:
         sketch = F.percentile_approx("value", list(QUARTILES), 10_000)
-        rows = _of_groups(long, groups).groupBy(*KEY).agg(sketch.alias("q"))
-        parts = [F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))]
-        return rows.select(*KEY, *parts)
-    rows = quantiles(long, groups)
-    at = [F.max(F.when(F.col("prob") == p, F.col("value"))) for p in QUARTILES]
-    return rows.groupBy(*KEY).agg(at[0].alias("q1"), at[1].alias("median"), at[2].alias("q3"))
+        rows = _of_groups(long, groups).groupBy(*KEY).agg(sketch.alias("quantiles"))
+    else:
+        rows = summary(long, groups)
+    return rows.select(*KEY, *_named_quartiles("quantiles"))
 
 
 def _fenced(long: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -138,21 +160,15 @@ def histogram(df: DataFrame, group: str, factor: str) -> DataFrame:
 
 def bandwidths(long: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Range, size and rule-of-thumb kernel bandwidth per (group, variable)."""
-    basics = _of_groups(long, groups).groupBy(*KEY).agg(
-        F.count("value").alias("n"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-        F.stddev_samp("value").alias("sd"),
-    )
-    iqr = (F.col("q3") - F.col("q1")) / 1.34
+    rows = summary(long, groups, (0.25, 0.75))
+    iqr = (F.col("quantiles")[1] - F.col("quantiles")[0]) / 1.34
     # A zero spread falls back to the deviation, the value itself, then one.
     spread = F.coalesce(
         *[F.when(c != 0, c) for c in (F.least(F.col("sd"), iqr), F.col("sd"), F.abs("low"))],
         F.lit(1.0),
     )
     width = 0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    joined = basics.join(F.broadcast(quartile_table(long, groups)), KEY)
-    return joined.select(*KEY, "n", "low", "high", width.alias("bandwidth"))
+    return rows.select(*KEY, "n", "low", "high", width.alias("bandwidth"))
 
 
 def _shared(widths: DataFrame) -> DataFrame:

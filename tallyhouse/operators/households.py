@@ -16,7 +16,7 @@ def household_members(clients: DataFrame, memberships: DataFrame) -> DataFrame:
 
     ``clients``: client_id, gender, age_at_year_end; ``memberships``: client_id,
     household_id, relationship (recoded). Clients without a membership share the
-    missing household. ``copies`` counts identical rows; sizes count them all.
+    missing household. ``copies`` counts identical client rows; sizes count them all.
     """
     members = weighted_left_join(
         clients.select("client_id", "gender", "age_at_year_end"), memberships, ["client_id"]

@@ -36,7 +36,7 @@ def classified_calls(
     vocabulary = "old" if variant == "v2" else "current"
     base = calls.select(
         "household_id", "client_id", "need_date", "need_code", "veteran_status", "name_string"
-    ).distinct()
+    )
     kinds = situations.select(
         "client_id",
         "event_date",

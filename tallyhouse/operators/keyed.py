@@ -60,32 +60,32 @@ def with_copies(rows: DataFrame, name: str) -> DataFrame:
 
 
 def weighted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join that may match many to many, without writing out repeated pairs.
+    """Left join that may match many to many; ``copies`` counts repeated left rows.
 
-    Identical rows of either side are folded first; ``copies`` says how often the
-    joined row occurs. The matched and unmatched parts are separate joins because
+    Identical left rows are folded first, so a key repeated on both sides does not
+    multiply into all pairs. The matched and unmatched parts are separate joins because
     an outer join can only be split on its left side, and the hot side may be the right.
     """
-    left = with_copies(left, "__left")
-    right = with_copies(right, "__right")
+    left = with_copies(left, "copies")
     matched = join_on(left, right, on, "inner")
     alone = join_on(left, right.select(*on).distinct(), on, "left_anti")
-    both = matched.unionByName(alone, allowMissingColumns=True)
-    copies = F.col("__left") * F.coalesce("__right", F.lit(1))
-    return both.withColumn("copies", copies).drop("__left", "__right")
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def merge_unmatched(left: DataFrame, right: DataFrame, on: On) -> DataFrame:
     """Full outer join against a table of key columns only, duplicates removed.
 
     Equals the full join as a set: all left rows, and the right rows with no match.
+    One ``groupBy`` over both sides' keys finds the latter; it pre-aggregates, and
+    takes a missing key for a value, which an equi-join would need extra work for.
     """
     pairs = [(c, c) if isinstance(c, str) else c for c in on]
-    keys = right.select(*[F.col(r).alias(l) for l, r in pairs]).distinct()
     names = [l for l, _ in pairs]
-    left = left.distinct()
-    extra = join_on(keys, left.select(*names).distinct(), names, "left_anti")
-    return left.unionByName(extra, allowMissingColumns=True)
+    here = left.select(*names, F.lit(True).alias("__left"))
+    there = right.select(*[F.col(r).alias(l) for l, r in pairs], F.lit(False).alias("__left"))
+    known = here.unionByName(there).groupBy(*names).agg(F.bool_or("__left").alias("__left"))
+    extra = known.filter(~F.col("__left")).drop("__left")
+    return left.distinct().unionByName(extra, allowMissingColumns=True)
 
 
 def distinct_union(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -58,19 +58,20 @@ def distinct_counts(rows: DataFrame, metrics: Iterable[Metric]) -> DataFrame:
         ]
         marks = rows.select(F.inline(F.array(*entries)))
     per_key = marks.filter("mask != 0").groupBy("kind", "key").agg(F.bit_or("mask").alias("mask"))
-    totals = per_key.agg(
-        *[
-            F.count(
-                F.when(
-                    (F.col("kind") == groups.index(group))
-                    & (F.col("mask").bitwiseAND(F.lit(1 << bit).cast("long")) != 0),
-                    1,
-                )
-            ).alias(f"m{i}")
-            for i, (group, bit) in enumerate(slots)
-        ]
+    counts = [
+        F.expr(f"count_if(kind = {groups.index(group)} AND (mask & {1 << bit}L) != 0) AS m{i}")
+        for i, (group, bit) in enumerate(slots)
+    ]
+    rows = ", ".join(
+        f"named_struct('population', {_text(m.population)}, 'metric', {_text(m.name)}, 'value', m{i})"
+        for i, m in enumerate(metrics)
     )
-    return _as_rows(totals, metrics)
+    return per_key.agg(*counts).selectExpr(f"inline(array({rows}))")
+
+
+def _text(value: str) -> str:
+    """SQL literal of a label."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _slots(metrics: list[Metric]) -> list[tuple[tuple[str, int], int]]:
@@ -84,18 +85,6 @@ def _slots(metrics: list[Metric]) -> list[tuple[tuple[str, int], int]]:
     return slots
 
 
-def _as_rows(totals: DataFrame, metrics: list[Metric]) -> DataFrame:
-    rows = [
-        F.struct(
-            F.lit(m.population).alias("population"),
-            F.lit(m.name).alias("metric"),
-            F.col(f"m{i}").alias("value"),
-        )
-        for i, m in enumerate(metrics)
-    ]
-    return totals.select(F.inline(F.array(*rows)))
-
-
 def distinct_values(rows: DataFrame, *keys: str) -> DataFrame:
     """Distinct keys with missing as a value, as one row with their number."""
     return rows.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n"))

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.missing import within
-
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -47,7 +45,7 @@ def to_wide(long: DataFrame, group: str, factors: Sequence[str], value: str = "v
 
 def facet(df: DataFrame, number: str, low, high, category: str, selected: Sequence) -> DataFrame:
     """Rows in a closed numeric range whose category is one of the selected ones."""
-    return df.filter(F.col(number).between(low, high) & within(category, selected))
+    return df.filter(F.col(number).between(low, high) & F.col(category).isin(list(selected)))
 
 
 def facet_choices(df: DataFrame, number: str, low, high, category: str) -> DataFrame:
