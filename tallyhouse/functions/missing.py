@@ -16,7 +16,8 @@ ColumnLike = Column | str
 
 
 def as_column(c: ColumnLike) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """Column by its exact name; uploaded tables have dots and spaces in theirs."""
+    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
 def strict_if(condition: Column, yes, no) -> Column:

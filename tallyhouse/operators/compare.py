@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import recode
+from ..functions.missing import as_column
 from ..functions.rules import first_match, rank_of
 from ..functions.student import t_p_value, t_quantile
 from .keyed import distinct_union
@@ -22,7 +23,7 @@ BANDS = ((0.05, "green"), (0.2, "yellow"))
 def comparison_table(df: DataFrame, split: str, targets: Sequence[str], factors: Sequence[str]) -> DataFrame:
     """Group label against all others, with the chosen factors in alphabetical order."""
     group = recode.target_or_other(split, targets).alias("group")
-    return key_first(df.select(group, *factors), "group")
+    return key_first(df.select(group, *map(as_column, factors)), "group")
 
 
 def equity_groups(df: DataFrame, race: str = "race", ethnicity: str = "ethnicity") -> DataFrame:
@@ -38,7 +39,7 @@ def moments(df: DataFrame, group: str, factors: Sequence[str]) -> DataFrame:
     """
     aggregates = []
     for i, f in enumerate(factors):
-        value = F.col(f).cast("double")
+        value = as_column(f).cast("double")
         aggregates += [
             F.count(value).alias(f"n{i}"),
             F.avg(value).alias(f"mean{i}"),
@@ -148,7 +149,7 @@ def averages_table(df: DataFrame, group: str, factors: Sequence[str], groups: Se
         F.lit(P_ROW).alias(group), "variable", F.col("p_value").alias("value")
     )
     table = distinct_union(means, to_wide(tests, group, factors))
-    return table.orderBy(rank_of(group, [*groups, P_ROW])).select(group, *factors)
+    return table.orderBy(rank_of(group, [*groups, P_ROW])).select(*map(as_column, [group, *factors]))
 
 
 def significance_bands(tests: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.missing import as_column
 from .reshape import scaled, to_long
 
 KEY = ["group", "variable"]
@@ -150,9 +151,9 @@ def outlier_values(long: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, group: str, factor: str) -> DataFrame:
     """Rows per unit bin, bins centred on whole numbers and closed on the right."""
-    bin_centre = F.ceil(F.col(factor) - 0.5).cast("long")
+    bin_centre = F.ceil(as_column(factor) - 0.5).cast("long")
     return (
-        df.filter(F.col(factor).isNotNull())
+        df.filter(as_column(factor).isNotNull())
         .groupBy(group, bin_centre.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

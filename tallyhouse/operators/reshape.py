@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.missing import as_column
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -29,13 +31,14 @@ def default_grouping(df: DataFrame) -> str | None:
 
 def key_first(df: DataFrame, key: str) -> DataFrame:
     """Key column, then the others in alphabetical order."""
-    return df.select(key, *sorted(c for c in df.columns if c != key))
+    return df.select(*map(as_column, [key, *sorted(c for c in df.columns if c != key)]))
 
 
 def to_long(df: DataFrame, group: str, factors: Sequence[str]) -> DataFrame:
     """Rows ``(group, variable, value)``, one per factor, values as double."""
-    doubles = [F.col(f).cast("double").alias(f) for f in factors]
-    return df.select(group, *doubles).unpivot([group], list(factors), "variable", "value")
+    doubles = [as_column(f).cast("double").alias(f) for f in factors]
+    wide = df.select(as_column(group), *doubles)
+    return wide.unpivot([as_column(group)], [as_column(f) for f in factors], "variable", "value")
 
 
 def to_wide(long: DataFrame, group: str, factors: Sequence[str], value: str = "value") -> DataFrame:
@@ -45,12 +48,12 @@ def to_wide(long: DataFrame, group: str, factors: Sequence[str], value: str = "v
 
 def facet(df: DataFrame, number: str, low, high, category: str, selected: Sequence) -> DataFrame:
     """Rows in a closed numeric range whose category is one of the selected ones."""
-    return df.filter(F.col(number).between(low, high) & F.col(category).isin(list(selected)))
+    return df.filter(as_column(number).between(low, high) & as_column(category).isin(list(selected)))
 
 
 def facet_choices(df: DataFrame, number: str, low, high, category: str) -> DataFrame:
     """Categories that occur inside the range."""
-    return df.filter(F.col(number).between(low, high)).select(category).distinct()
+    return df.filter(as_column(number).between(low, high)).select(as_column(category)).distinct()
 
 
 def scaled(df: DataFrame, factors: Sequence[str], *, strict: bool) -> DataFrame:
@@ -61,15 +64,18 @@ def scaled(df: DataFrame, factors: Sequence[str], *, strict: bool) -> DataFrame:
     """
     bounds = df.agg(
         F.struct(
-            *[F.min(f).cast("double").alias(f"{i}_min") for i, f in enumerate(factors)],
-            *[F.max(f).cast("double").alias(f"{i}_max") for i, f in enumerate(factors)],
-            *[(F.count(f) == F.count(F.lit(1))).alias(f"{i}_full") for i, f in enumerate(factors)],
+            *[F.min(c).cast("double").alias(f"{i}_min") for i, c in enumerate(map(as_column, factors))],
+            *[F.max(c).cast("double").alias(f"{i}_max") for i, c in enumerate(map(as_column, factors))],
+            *[
+                (F.count(c) == F.count(F.lit(1))).alias(f"{i}_full")
+                for i, c in enumerate(map(as_column, factors))
+            ],
         ).alias("bounds")
     ).scalar()
 
     def scale(i: int, f: str) -> Column:
         low, high = bounds[f"{i}_min"], bounds[f"{i}_max"]
-        share = F.try_divide(F.col(f).cast("double") - low, high - low)
+        share = F.try_divide(as_column(f).cast("double") - low, high - low)
         return F.when(bounds[f"{i}_full"], share) if strict else share
 
     return df.withColumns({f: scale(i, f) for i, f in enumerate(factors)})

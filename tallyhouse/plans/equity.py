@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..functions import recode
+from ..functions.missing import as_column
 from ..operators import compare, distributions, reshape
 from ..sources.sheets import assessment_table
 
@@ -41,7 +42,7 @@ class Comparison:
 
 def choices(table: DataFrame, split: str) -> DataFrame:
     """Groups that can be chosen as target."""
-    return table.select(split).distinct()
+    return table.select(as_column(split)).distinct()
 
 
 def comparison(

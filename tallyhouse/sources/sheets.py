@@ -6,12 +6,14 @@ An extract is a folder with one subfolder (or file) per sheet, in CSV or Parquet
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import on_day
+from ..functions.missing import as_column
 from ..operators.reshape import text_columns
 from . import headers
 
@@ -73,14 +75,16 @@ def without_empty(df: DataFrame) -> DataFrame:
     Which columns are empty decides the result's schema, so this runs one
     aggregate (one row) at once; everything else stays lazy.
     """
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
-    kept = [c for c, n in zip(df.columns, counts) if n > 0]
-    return df.select(*[f"`{c}`" for c in kept]).na.drop("all")
+    columns = {c: as_column(c) for c in df.columns}
+    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns.values())]).first()
+    kept = [c for c, n in zip(columns.values(), counts) if n > 0]
+    some = reduce(Column.__or__, [c.isNotNull() for c in kept], F.lit(False))
+    return df.select(*kept).filter(some)
 
 
 def fill_text(df: DataFrame, value: str = "null") -> DataFrame:
     """Missing text becomes a label of its own."""
-    return df.na.fill(value, subset=text_columns(df))
+    return df.withColumns({c: F.coalesce(as_column(c), F.lit(value)) for c in text_columns(df)})
 
 
 def assessment_table(df: DataFrame) -> DataFrame:
