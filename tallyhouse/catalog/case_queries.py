@@ -17,6 +17,8 @@ from ..operators.metrics import (
     rows_per,
 )
 from ..plans import by_name_list, hotline, program_entry
+from ..session import shared_folder
+from ..sources import sheets
 from .column_queries import END, ENTRY_END, ENTRY_START, START
 from .ctes import CENSUS, ENTRY_YEAR, bipoc, counts, words
 from .registry import query
@@ -550,6 +552,13 @@ def people_per_status(t):
     return hotline.people_per_status(_resolved(t))
 
 
+@query("s10_report_sink", _call_counts("base_v1", v1=True))
+def report_sink(t):
+    path = shared_folder(t.spark)
+    sheets.write_report(hotline.single_sheet_report(t.calls), path)
+    return t.spark.read.parquet(path)
+
+
 @query(
     "s10_list_report",
     "\nUNION ALL\n".join(counts("roster", m, "by_name_list") for m in (_SYSTEM_MAP, _CLIENTS, _FAMILIES)),

@@ -13,6 +13,7 @@ from ..operators import compare, reshape
 from ..operators.keyed import join_on
 from ..operators.metrics import rows_per
 from ..plans import by_name_list, equity
+from ..session import shared_folder
 from ..sources import headers, schemas, sheets
 from .ctes import CENSUS, CURRENT, ENTRY_YEAR, OLD, YEAR, age_bucket, bipoc, gender, relationship, status, words, years
 from .registry import query
@@ -45,6 +46,17 @@ def table_by_file_name(t):
     return rows_per(sheets.read_table(t.spark, t.path("part")), "p_brand")
 
 
+@query(
+    "s2_csv_with_inferred_types",
+    "SELECT p_partkey, CAST(p_size AS INTEGER) AS p_size, p_brand, p_retailprice FROM part",
+)
+def csv_with_inferred_types(t):
+    path = f"{shared_folder(t.spark)}/part.csv"
+    t.part.write.option("header", True).csv(path)
+    table = sheets.read_table(t.spark, path)
+    return table.select(F.col("p_partkey").cast("long"), "p_size", "p_brand", "p_retailprice")
+
+
 @query(
     "s6_syntactic_headers",
     "SELECT race, sum(basic_needs) AS total FROM assessments GROUP BY 1",

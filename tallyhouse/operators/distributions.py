@@ -19,6 +19,8 @@ KEY = ["group", "variable"]
 QUARTILES = (0.25, 0.5, 0.75)
 # Rank error of the pilot sketch is 1 / ACCURACY of the rows.
 ACCURACY = 100_000
+# Slices of a bracket whose rows are counted before any value is put in order.
+SLICES = 1024
 
 
 def distribution_rows(df: DataFrame, factors: Sequence[str], *, strict: bool = False) -> DataFrame:
@@ -45,9 +47,10 @@ def summary(
     Columns: group, variable, n, low, high, sd and ``quantiles``, one per prob.
 
     A sketch brackets each wanted rank; a second pass counts the rows between the
-    brackets and tallies the values inside them. Only those few distinct values are put
-    in order, so no task sees a whole group. Groups of up to ``accuracy`` rows take all
-    their values as one bracket. A bracket that missed its rank raises an error.
+    brackets and tallies the values inside them, groups of up to ``accuracy`` rows taking
+    all their values as one bracket. Each bracket is cut into slices, the slices' running
+    totals say which ones hold a wanted rank, and only the distinct values of those are
+    put in order. A bracket that missed its rank raises an error.
     """
     long = _of_groups(long, groups)
     value, n = F.col("value"), F.col("n")
@@ -61,34 +64,56 @@ def summary(
         F.percentile_approx("value", edges, accuracy).alias("edges"),
     )
     known = F.when(n > accuracy, F.col("edges"))
-    inside, place = F.lit(False), F.lit(0)
+    inside, place, shares = F.lit(False), F.lit(0), []
     for i in range(len(probs)):
         first = F.coalesce(known[2 * i], F.col("low"))
         last = F.coalesce(known[2 * i + 1], F.col("high"))
         inside = inside | value.between(first, last)
         place = place + (value >= first).cast("int") + (value > last).cast("int")
-    fixed = [*KEY, "n", "low", "high", "sd"]
+        share = F.coalesce(F.try_divide(value - first, last - first), F.lit(0.0))
+        shares.append(F.when(value.between(first, last), F.floor(share * SLICES)))
+    cell = [*KEY, "n", "place", "slice"]
     tally = (
         long.join(F.broadcast(pilot), KEY)
-        .groupBy(*fixed, place.alias("place"), F.when(inside, value).alias("value"))
+        .groupBy(
+            *KEY,
+            "n",
+            place.alias("place"),
+            F.coalesce(*shares, F.lit(-1)).alias("slice"),
+            F.when(inside, value).alias("value"),
+        )
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    running = Window.partitionBy(*KEY).orderBy("place", "value")
+    ranks = [(n - 1) * F.lit(float(p)) for p in probs]
+    wanted = [f(rank) for rank in ranks for f in (F.floor, F.ceil)]
+    holds = F.lit(False)
+    for at in wanted:
+        holds = holds | ((F.col("before") <= at) & (F.col("before") + F.col("rows") > at))
+    cells = Window.partitionBy(*KEY).orderBy("place", "slice")
+    needed = (
+        tally.groupBy(*cell)
+        .agg(F.sum("rows").alias("rows"))
+        .withColumn("before", F.sum("rows").over(cells) - F.col("rows"))
+        .filter(holds)
+        .select(*cell, "before")
+    )
+    within_cell = Window.partitionBy(*cell).orderBy("value")
+    ordered = tally.join(F.broadcast(needed), cell).withColumn(
+        "upto", F.col("before") + F.sum("rows").over(within_cell)
+    )
     upto = F.col("upto")
-    picks = []
-    for i, p in enumerate(probs):
-        rank = (n - 1) * F.lit(float(p))
-        for side, at in (("lower", F.floor(rank)), ("upper", F.ceil(rank))):
-            first = F.min(F.when(upto > at, F.struct("upto", "value")))
-            picks.append(first["value"].alias(f"{side}{i}"))
-    found = tally.withColumn("upto", F.sum("rows").over(running)).groupBy(*fixed).agg(*picks)
+    at_rank = [
+        F.min(F.when(upto > at, F.struct("upto", "value")))["value"].alias(f"at{i}")
+        for i, at in enumerate(wanted)
+    ]
+    found = ordered.groupBy(*KEY, "n").agg(*at_rank)
     missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
     results = []
-    for i, p in enumerate(probs):
-        rank = (n - 1) * F.lit(float(p))
-        lower, upper = F.col(f"lower{i}"), F.col(f"upper{i}")
+    for i, rank in enumerate(ranks):
+        lower, upper = F.col(f"at{2 * i}"), F.col(f"at{2 * i + 1}")
         results.append(F.coalesce(lower + (rank - F.floor(rank)) * (upper - lower), missed))
-    return found.select(*fixed, F.array(*results).alias("quantiles"))
+    found = found.select(*KEY, F.array(*results).alias("quantiles"))
+    return pilot.drop("edges").join(F.broadcast(found), KEY)
 
 
 def quantiles(

@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions import recode
 from ..functions.dates import completed_years
 from ..functions.missing import any_flag, down, largest, smallest, up
-from ..functions.rules import client_household
+from ..functions.rules import client_household, first_match
 from .keyed import attach, first_per_key, join_on, merge_unmatched
 
-CALL_COLUMNS = (
-    "household_id",
-    "client_id",
-    "call_date",
-    "veteran_status",
-    "name_string",
-    "birth_date",
-    "housed_status",
-    "bipoc",
-    "asked_shelter",
-)
+STATUSES = (L.LITERALLY, L.NOT_LITERALLY, L.UNKNOWN)
 
 
 def classified_calls(
@@ -112,19 +103,24 @@ def resolved_people(calls: DataFrame) -> DataFrame:
         )
         .drop("known_id", "last_id")
     )
-    flags = {
-        "client_veteran": largest("veteran", "propagate"),
-        "client_bipoc": F.max("bipoc"),
-        "client_shelter": F.max("asked_shelter"),
-    }
-    return attach(resolved, ["client_id"], **flags).select(
+    known = attach(
+        resolved,
+        ["client_id"],
+        client_veteran=largest("veteran", "propagate"),
+        client_bipoc=F.max("bipoc"),
+        client_shelter=F.max("asked_shelter"),
+    )
+    # The client's flag is never weaker than the pair's own. Reading both keeps the two
+    # uses of the aggregate alike, so Spark runs it once and reuses its shuffle.
+    veteran = F.when(F.col("veteran").isNotNull(), F.col("client_veteran"))
+    return known.select(
         "name_string",
         "birth_date",
         "born",
         "client_id",
-        recode.yes_no("client_veteran").alias("veteran"),
-        F.col("client_bipoc").alias("bipoc"),
-        F.col("client_shelter").alias("asked_shelter"),
+        recode.yes_no(veteran).alias("veteran"),
+        F.greatest("client_bipoc", "bipoc").alias("bipoc"),
+        F.greatest("client_shelter", "asked_shelter").alias("asked_shelter"),
     )
 
 
@@ -170,24 +166,18 @@ def summary_base(calls: DataFrame, variant: str = "v3") -> DataFrame:
         calls = household_day_status(calls)
         state.append("day_status")
     states = calls.select(*state).distinct()
-    by_status = states.groupBy("household_id", "housed_status").agg(
-        F.count(F.lit(1)).alias("household_size"),
-        largest("age").alias("status_max"),
-        smallest("age").alias("status_min"),
-    )
-    # At most one row per status in a household.
-    household = Window.partitionBy("household_id")
-    measures = by_status.select(
-        "household_id",
-        "housed_status",
-        "household_size",
-        F.max("status_max").over(household).alias("max_age"),
-        F.min("status_min").over(household).alias("min_age"),
+    status = F.col("housed_status")
+    sizes = {f"__{i}": F.count_if(status == label) for i, label in enumerate(STATUSES)}
+    sized = attach(
+        states, ["household_id"], max_age=largest("age"), min_age=smallest("age"), **sizes
     )
-    sized = join_on(states, measures, ["household_id", "housed_status"])
-    tie = ["household_id", "housed_status", *[c for c in state if c not in ("household_id", "housed_status", "client_id")]]
+    size = first_match([(status == label, F.col(f"__{i}")) for i, label in enumerate(STATUSES)])
+    sized = sized.withColumn("household_size", size).drop(*sizes)
+    tie = [c for c in state if c not in ("client_id", "household_id", "housed_status")]
+    leading = ["household_id", "housed_status"]
     if variant == "v3":
-        tie = ["housed_status", *[c for c in tie if c != "housed_status"]]
+        leading.reverse()
+    tie = leading + tie
     base = first_per_key(sized, ["client_id"], [down("household_size"), *map(up, tie)])
     shelter = F.when(F.col("asked_shelter") == 1, "Yes").otherwise("No")
     return base.withColumn("asked_shelter", shelter)

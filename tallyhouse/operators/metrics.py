@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,30 +32,25 @@ def distinct_counts(rows: DataFrame, metrics: Iterable[Metric]) -> DataFrame:
     metrics = list(metrics)
     slots = _slots(metrics)
     groups = sorted({group for group, _ in slots})
+    keys = sorted({key for key, _ in groups})
+    tests = rows.select(
+        *[F.col(key).alias(f"k{i}") for i, key in enumerate(keys)],
+        *[m.where.alias(f"w{i}") for i, m in enumerate(metrics)],
+    )
     masks = {
-        group: reduce(
-            Column.bitwiseOR,
-            [
-                F.when(m.where, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
-                for m, (g, bit) in zip(metrics, slots)
-                if g == group
-            ],
+        group: " | ".join(
+            f"if(w{i}, {1 << bit}L, 0L)" for i, (g, bit) in enumerate(slots) if g == group
         )
         for group in groups
     }
     if len(groups) == 1:
-        key = groups[0][0]
-        marks = rows.select(F.lit(0).alias("kind"), F.col(key).alias("key"), masks[groups[0]].alias("mask"))
+        marks = tests.selectExpr("0 AS kind", "k0 AS key", f"{masks[groups[0]]} AS mask")
     else:
-        entries = [
-            F.struct(
-                F.lit(i).alias("kind"),
-                F.col(key).cast("string").alias("key"),
-                masks[key, part].alias("mask"),
-            )
+        entries = ", ".join(
+            f"struct({i} AS kind, CAST(k{keys.index(key)} AS STRING) AS key, {masks[key, part]} AS mask)"
             for i, (key, part) in enumerate(groups)
-        ]
-        marks = rows.select(F.inline(F.array(*entries)))
+        )
+        marks = tests.selectExpr(f"inline(array({entries}))")
     per_key = marks.filter("mask != 0").groupBy("kind", "key").agg(F.bit_or("mask").alias("mask"))
     counts = [
         F.expr(f"count_if(kind = {groups.index(group)} AND (mask & {1 << bit}L) != 0) AS m{i}")
