@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_column
-from .reshape import scaled, to_long
+from .keyed import join_on
+from .reshape import scaled_long
 
 KEY = ["group", "variable"]
 QUARTILES = (0.25, 0.5, 0.75)
@@ -25,7 +26,7 @@ SLICES = 1024
 
 def distribution_rows(df: DataFrame, factors: Sequence[str], *, strict: bool = False) -> DataFrame:
     """Scaled factors in long form without missing values, with the factor's position."""
-    long = to_long(scaled(df, factors, strict=strict), "group", factors).dropna(subset=["value"])
+    long = scaled_long(df, "group", factors, strict=strict)
     place = F.array_position(F.array(*map(F.lit, factors)), F.col("variable"))
     return long.withColumn("place", place.cast("int"))
 
@@ -52,11 +53,11 @@ def summary(
     totals say which ones hold a wanted rank, and only the distinct values of those are
     put in order. A bracket that missed its rank raises an error.
     """
-    long = _of_groups(long, groups)
+    long = long.select(*KEY, "value").dropna(subset=["value"])
     value, n = F.col("value"), F.col("n")
     margin = 4 / accuracy
     edges = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-margin, margin)]
-    pilot = long.groupBy(*KEY).agg(
+    pilot = _of_groups(long, groups).groupBy(*KEY).agg(
         F.count("value").alias("n"),
         F.min("value").alias("low"),
         F.max("value").alias("high"),
@@ -72,12 +73,14 @@ def summary(
         place = place + (value >= first).cast("int") + (value > last).cast("int")
         share = F.coalesce(F.try_divide(value - first, last - first), F.lit(0.0))
         shares.append(F.when(value.between(first, last), F.floor(share * SLICES)))
-    cell = [*KEY, "n", "place", "slice"]
+    fixed = [*KEY, "n", "low", "high", "sd"]
+    cell = [*fixed, "place", "slice"]
+    # Null-safe joins: Spark infers no filter through them, so both uses of the tally stay
+    # alike and share one shuffle.
     tally = (
-        long.join(F.broadcast(pilot), KEY)
+        join_on(long, F.broadcast(pilot), KEY, "inner")
         .groupBy(
-            *KEY,
-            "n",
+            *fixed,
             place.alias("place"),
             F.coalesce(*shares, F.lit(-1)).alias("slice"),
             F.when(inside, value).alias("value"),
@@ -95,25 +98,23 @@ def summary(
         .agg(F.sum("rows").alias("rows"))
         .withColumn("before", F.sum("rows").over(cells) - F.col("rows"))
         .filter(holds)
-        .select(*cell, "before")
-    )
-    within_cell = Window.partitionBy(*cell).orderBy("value")
-    ordered = tally.join(F.broadcast(needed), cell).withColumn(
-        "upto", F.col("before") + F.sum("rows").over(within_cell)
+        .select(*KEY, "place", "slice", "before")
     )
+    within_cell = Window.partitionBy(*KEY, "place", "slice").orderBy("value")
+    ordered = join_on(tally, F.broadcast(needed), [*KEY, "place", "slice"], "inner")
+    ordered = ordered.withColumn("upto", F.col("before") + F.sum("rows").over(within_cell))
     upto = F.col("upto")
     at_rank = [
         F.min(F.when(upto > at, F.struct("upto", "value")))["value"].alias(f"at{i}")
         for i, at in enumerate(wanted)
     ]
-    found = ordered.groupBy(*KEY, "n").agg(*at_rank)
+    found = ordered.groupBy(*fixed).agg(*at_rank)
     missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
     results = []
     for i, rank in enumerate(ranks):
         lower, upper = F.col(f"at{2 * i}"), F.col(f"at{2 * i + 1}")
         results.append(F.coalesce(lower + (rank - F.floor(rank)) * (upper - lower), missed))
-    found = found.select(*KEY, F.array(*results).alias("quantiles"))
-    return pilot.drop("edges").join(F.broadcast(found), KEY)
+    return found.select(*fixed, F.array(*results).alias("quantiles"))
 
 
 def quantiles(

@@ -62,16 +62,7 @@ def scaled(df: DataFrame, factors: Sequence[str], *, strict: bool) -> DataFrame:
     ``strict`` voids a factor with any missing value, otherwise those rows stay missing.
     The bounds are one aggregated row, read as a scalar subquery.
     """
-    bounds = df.agg(
-        F.struct(
-            *[F.min(c).cast("double").alias(f"{i}_min") for i, c in enumerate(map(as_column, factors))],
-            *[F.max(c).cast("double").alias(f"{i}_max") for i, c in enumerate(map(as_column, factors))],
-            *[
-                (F.count(c) == F.count(F.lit(1))).alias(f"{i}_full")
-                for i, c in enumerate(map(as_column, factors))
-            ],
-        ).alias("bounds")
-    ).scalar()
+    bounds = df.agg(F.struct(*_bounds(factors)).alias("bounds")).scalar()
 
     def scale(i: int, f: str) -> Column:
         low, high = bounds[f"{i}_min"], bounds[f"{i}_max"]
@@ -79,3 +70,43 @@ def scaled(df: DataFrame, factors: Sequence[str], *, strict: bool) -> DataFrame:
         return F.when(bounds[f"{i}_full"], share) if strict else share
 
     return df.withColumns({f: scale(i, f) for i, f in enumerate(factors)})
+
+
+def factor_bounds(df: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """One row per factor: variable, its smallest value, its span, whether none is missing.
+
+    Factors without a span are left out. The number of factors bounds the table.
+    """
+    entries = [
+        F.struct(
+            F.lit(f).alias("variable"),
+            F.col(f"{i}_min").alias("least"),
+            (F.col(f"{i}_max") - F.col(f"{i}_min")).alias("span"),
+            F.col(f"{i}_full").alias("complete"),
+        )
+        for i, f in enumerate(factors)
+    ]
+    return df.agg(*_bounds(factors)).select(F.inline(F.array(*entries))).filter("span > 0")
+
+
+def scaled_long(df: DataFrame, group: str, factors: Sequence[str], *, strict: bool) -> DataFrame:
+    """The scaled factors in long form, missing values left out."""
+    bounds = factor_bounds(df, factors)
+    if strict:
+        bounds = bounds.filter("complete")
+    rows = to_long(df, group, factors).dropna(subset=["value"])
+    share = (F.col("value") - F.col("least")) / F.col("span")
+    joined = rows.join(F.broadcast(bounds), "variable")
+    return joined.select(as_column(group), "variable", share.alias("value"))
+
+
+def _bounds(factors: Sequence[str]) -> list[Column]:
+    """Aggregates: smallest and largest value of each factor, and whether none is missing."""
+    aggregates = []
+    for i, c in enumerate(map(as_column, factors)):
+        aggregates += [
+            F.min(c).cast("double").alias(f"{i}_min"),
+            F.max(c).cast("double").alias(f"{i}_max"),
+            (F.count(c) == F.count(F.lit(1))).alias(f"{i}_full"),
+        ]
+    return aggregates

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import recode
 from ..functions.missing import as_column
@@ -34,10 +35,24 @@ class Comparison:
         return distributions.distribution_rows(self.rows, self.factors)
 
     def medians(self, *, approximate: bool = False) -> DataFrame:
-        return distributions.quartile_table(self.distributions(), self.groups, approximate=approximate)
+        """Quartiles of the scaled factors: taken of the raw values, then scaled."""
+        rows = distributions.quartile_table(self._long(), self.groups, approximate=approximate)
+        parts = ("q1", "median", "q3")
+        return self._scaled(rows, parts).select("group", "variable", *parts)
 
     def densities(self, points: int = 512) -> DataFrame:
-        return distributions.density(self.distributions(), self.groups, points=points)
+        """Densities of the scaled factors, from those of the raw values."""
+        rows = distributions.density(self._long(), self.groups, points=points)
+        scaled = self._scaled(rows, ["x"]).withColumn("density", F.col("density") * F.col("span"))
+        return scaled.drop("least", "span")
+
+    def _long(self) -> DataFrame:
+        return reshape.to_long(self.rows, "group", self.factors)
+
+    def _scaled(self, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+        bounds = reshape.factor_bounds(self.rows, self.factors).drop("complete")
+        shares = {c: (F.col(c) - F.col("least")) / F.col("span") for c in columns}
+        return table.join(F.broadcast(bounds), "variable").withColumns(shares)
 
 
 def choices(table: DataFrame, split: str) -> DataFrame:
