@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import recode
 from ..functions.dates import day, in_window
-from ..functions.missing import down, largest, smallest, up
+from ..functions.missing import down, holds, largest, smallest, up
 from ..operators.keyed import first_per_key, join_on
 from ..operators.metrics import Metric, distinct_counts, distinct_pairs_per
 
 NAME = "program_entry"
+# Columns a metric is decided by; the populations need none of them.
+DECIDING = ("program_type", "entry_ts", "exit_date", "exit_destination")
 
 
 def scored_demographics(demographics: DataFrame) -> DataFrame:
@@ -46,16 +48,31 @@ def _conditions(start: str, end: str) -> dict[str, Column]:
     }
 
 
+def counted_stays(entries: DataFrame, start: str, end: str) -> DataFrame:
+    """Stays that some metric counts, with one boolean column per metric in place of the
+    columns it is decided by, so that little is shuffled and each test runs once."""
+    flags = {f"stay{i}": holds(c) for i, c in enumerate(_conditions(start, end).values())}
+    rest = [c for c in entries.columns if c not in DECIDING]
+    return entries.withColumns(flags).select(*rest, *flags).filter(" OR ".join(flags))
+
+
 def system_map_counts(
     rows: DataFrame, populations: dict[str, tuple[str, Column]], start: str, end: str
 ) -> DataFrame:
     """Six metrics for each population, given as title → (key column, condition)."""
+    return _count(counted_stays(rows, start, end), populations, list(_conditions(start, end)))
+
+
+def _count(
+    stays: DataFrame, populations: dict[str, tuple[str, Column]], names: list[str]
+) -> DataFrame:
+    members = {f"member{i}": member for i, (_, member) in enumerate(populations.values())}
     metrics = [
-        Metric(name, key, member & condition, title)
-        for title, (key, member) in populations.items()
-        for name, condition in _conditions(start, end).items()
+        Metric(name, key, F.col(f"member{i}") & F.col(f"stay{j}"), title)
+        for i, (title, (key, _)) in enumerate(populations.items())
+        for j, name in enumerate(names)
     ]
-    return distinct_counts(rows, metrics)
+    return distinct_counts(stays.withColumns(members), metrics)
 
 
 def report_populations() -> dict[str, tuple[str, Column]]:
@@ -77,17 +94,14 @@ def system_map(entries: DataFrame, demographics: DataFrame, start: str, end: str
     Stays that no metric counts are dropped before the joins; the ages of their
     group still see all its stays.
     """
-    counted = F.lit(False)
-    for condition in _conditions(start, end).values():
-        counted = counted | condition
     people = scored_demographics(demographics).select(
         "client_id",
         (F.col("veteran_status") == L.VETERAN_YES).alias("is_veteran"),
         (recode.bipoc(["primary_race", "secondary_race"], "ethnicity") == 1).alias("is_bipoc"),
     )
-    rows = join_on(entries.filter(counted), group_ages(entries), ["group_uid"])
-    rows = join_on(rows, people, ["client_id"])
-    return system_map_counts(rows, report_populations(), start, end)
+    stays = join_on(counted_stays(entries, start, end), group_ages(entries), ["group_uid"])
+    stays = join_on(stays, people, ["client_id"])
+    return _count(stays, report_populations(), list(_conditions(start, end)))
 
 
 def housing_entries(entries: DataFrame, providers: DataFrame, start: str, end: str) -> DataFrame:
