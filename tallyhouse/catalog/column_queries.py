@@ -90,7 +90,7 @@ def fill_text(t):
 
 @query(
     "p1_p2_p3_p4_columns",
-    f"""SELECT client_id, veteran AS veteran_flag, year(birth_date) AS birth_year,
+    f"""SELECT client_id, veteran AS veteran_flag, CAST(year(birth_date) AS INTEGER) AS birth_year,
       CAST(floor(year(birth_date) / 10) * 10 AS INTEGER) AS decade FROM clients""",
 )
 def columns(t):
