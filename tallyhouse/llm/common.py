@@ -37,11 +37,11 @@ def projected(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def map_rows(
-    df: DataFrame, function: Callable[..., Iterator[tuple]], schema: str, rows: int = 4096
+    df: DataFrame, function: Callable[..., Iterator[tuple]], schema: str, rows: int = 4096, arrow_in: bool = False
 ) -> DataFrame:
     """Applies a generator ``function(rows) -> tuples`` within tasks, Arrow batch by Arrow batch.
 
-    Each input batch is handed over as an iterator of tuples. Output is flushed every ``rows`` tuples, so that
+    Input comes as tuples, or with ``arrow_in`` as record batches. Output is flushed every ``rows`` tuples, so that
     memory is bounded by one batch and not by the partition.
     """
     arrow = _arrow_schema(df.sparkSession, schema)
@@ -53,7 +53,7 @@ def map_rows(
 
         held: list[tuple] = []
         size = 0
-        for row in function(given()):
+        for row in function(batches if arrow_in else given()):
             held.append(row)
             size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
             if len(held) >= rows or size >= 8 << 20:

@@ -43,21 +43,21 @@ def pieces(
     ``capacity`` ids. Null and empty texts are the end id alone.
     """
     path = tokenizer or vocabulary()
-    end = np.array([end_id], dtype="<u4").tobytes()
-
-    def rows(given: Iterator[tuple]) -> Iterator[tuple]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         tokens = word_tokens(path)
-        for doc_id, text in given:
-            ids = tokens.ids(text) + end
-            for number, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                yield doc_id, number, at // 4, len(part) // 4, part
+        for batch in batches:
+            for doc_id, own in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1))):
+                ids = np.append(own, np.uint32(end_id)).astype("<u4")
+                for number, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    yield doc_id, number, at, len(part), part.tobytes()
 
     kind = dict(documents.dtypes)[id_column]
     return map_rows(
         projected(documents, doc_id=id_column, text=text_column),
         rows,
         f"doc_id {kind}, piece int, start bigint, length bigint, ids binary",
+        arrow_in=True,
     )
 
 

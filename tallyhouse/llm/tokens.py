@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cached pieces of one Python worker; the cache starts anew when full.
 CACHE = 1_000_000
+#: Bytes of text whose pieces are looked up together; a longer text is looked up alone.
+TOGETHER = 16 << 20
 _LOADED: dict[str, PieceCache] = {}
 
 
@@ -22,17 +28,41 @@ class PieceCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[bytes, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
         ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        self[piece] = value = np.array(ids, dtype="<u4").tobytes()
+        self[piece] = value = np.fromiter(ids, dtype="<u4", count=len(ids)).tobytes()
         return value
 
-    def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a column, null as empty."""
+        texts = texts.fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, side="right")))
+            yield from self._together(texts.slice(at, stop - at))
+            at = stop
+
+    def _together(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each distinct piece is looked up once, then ids are gathered by the pieces' numbers."""
+        # The separator is a run of the six ASCII white-space bytes.
+        pieces = pc.ascii_split_whitespace(texts)
+        bounds = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        known = [self[p] for p in coded.dictionary.cast(pa.binary()).to_pylist()]
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        starts = np.cumsum(sizes) - sizes
+        number = coded.indices.to_numpy()
+        many = sizes[number]
+        stops = np.concatenate(([0], np.cumsum(many)))
+        ids = flat[np.repeat(starts[number] - stops[:-1], many) + np.arange(stops[-1])]
+        bounds = stops[bounds - bounds[0]]
+        yield from (ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
 
 
 def word_tokens(path: str) -> PieceCache:

@@ -90,16 +90,16 @@ class Layout:
         return 2 * self.stride
 
 
-def _sequences(layout: Layout, path: str, texts: Iterator[tuple]) -> Iterator[tuple]:
+def _sequences(layout: Layout, path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """``(doc_id, piece, ids)``: a document's ids in pieces of the stride, at least one piece."""
     tokens = word_tokens(path)
-    for doc_id, text in texts:
-        ids = np.frombuffer(tokens.ids(text), dtype="<u4")
-        if len(ids) and int(ids.max()) >= layout.pad:
-            raise ValueError("ids do not fit two bytes")
-        raw = ids.astype("<u2").tobytes()
-        for piece, at in enumerate(range(0, max(1, len(raw)), layout.slot_bytes)):
-            yield doc_id, piece, raw[at : at + layout.slot_bytes]
+    for batch in batches:
+        for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1))):
+            if len(ids) and int(ids.max()) >= layout.pad:
+                raise ValueError("ids do not fit two bytes")
+            raw = ids.astype("<u2").tobytes()
+            for piece, at in enumerate(range(0, max(1, len(raw)), layout.slot_bytes)):
+                yield doc_id, piece, raw[at : at + layout.slot_bytes]
 
 
 def materialised(
@@ -127,18 +127,18 @@ def materialised(
     given = projected(documents, doc_id=id_column, text=text_column)
     kind = dict(documents.dtypes)[id_column]
 
-    def count(texts: Iterator[tuple]) -> Iterator[tuple]:
+    def count(texts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         n = sum(1 for _ in _sequences(layout, path, texts))
         yield TaskContext.get().partitionId(), n
 
-    counted = dict(map(tuple, map_rows(given, count, "partition int, n bigint").collect()))
+    counted = dict(map(tuple, map_rows(given, count, "partition int, n bigint", arrow_in=True).collect()))
     size = sum(counted.values())
     firsts, total = {}, 0
     for partition in sorted(counted):
         firsts[partition], total = total, total + counted[partition]
     order = Permutation(max(1, size), key)
 
-    def numbered(texts: Iterator[tuple]) -> Iterator[tuple]:
+    def numbered(texts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         partition = TaskContext.get().partitionId()
         at, held = firsts.get(partition, 0), []
 
@@ -156,7 +156,9 @@ def materialised(
         if at + len(held) - firsts.get(partition, 0) != counted.get(partition, 0):
             raise RuntimeError("the input gave other rows when read again: write it as a table first")
 
-    placed = map_rows(given, numbered, f"shard bigint, slot bigint, doc_id {kind}, piece int, ids binary")
+    placed = map_rows(
+        given, numbered, f"shard bigint, slot bigint, doc_id {kind}, piece int, ids binary", arrow_in=True
+    )
     shards = -(-size // layout.per_shard)
     dealt = placed.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("slot")
     return map_rows(
