@@ -91,9 +91,9 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows as a written table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return spark.read.schema(df.schema).parquet(folder)

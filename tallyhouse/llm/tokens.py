@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,11 @@ CACHE = 1_000_000
 #: Bytes of text whose pieces are looked up together; a longer text is looked up alone.
 TOGETHER = 16 << 20
 _LOADED: dict[str, PieceCache] = {}
+#: Latin letters that are their own composed form and have simple lower-case forms, then ASCII marks.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]{0,8})")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write a byte as the character of its number if that can be seen, else as one from 256 on.
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
 
 class PieceCache(dict):
@@ -28,14 +35,32 @@ class PieceCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.marks: dict[str, bytes] = {"": b""}
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        self[piece] = value = np.fromiter(ids, dtype="<u4", count=len(ids)).tobytes()
+        text = piece.decode()
+        plain = _PLAIN.fullmatch(text)
+        if plain:
+            # One run of letters, one of marks: what normalizers and pattern make of it is known, so the model is asked.
+            letters, marks = plain.groups()
+            word = letters.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+            value = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            if marks:
+                tail = self.marks.get(marks)
+                if tail is None:
+                    tail = self.marks[marks] = self._encoded(marks)
+                value += tail
+        else:
+            value = self._encoded(text)
+        self[piece] = value
         return value
 
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of a column, null as empty."""
         texts = texts.fill_null("")

@@ -10,18 +10,22 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, projected, shared_folder
+from .common import durable, map_rows, projected, shared_folder
 from .tokens import vocabulary, word_tokens
 
 ROUNDS = 6
+#: Write tasks at most; more shards are written one after the other by the same task.
+MAX_RANGES = 100_000
 
 
 @dataclass(frozen=True)
@@ -89,17 +93,8 @@ class Layout:
     def slot_bytes(self) -> int:
         return 2 * self.stride
 
-
-def _sequences(layout: Layout, path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """``(doc_id, piece, ids)``: a document's ids in pieces of the stride, at least one piece."""
-    tokens = word_tokens(path)
-    for batch in batches:
-        for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1))):
-            if len(ids) and int(ids.max()) >= layout.pad:
-                raise ValueError("ids do not fit two bytes")
-            raw = ids.astype("<u2").tobytes()
-            for piece, at in enumerate(range(0, max(1, len(raw)), layout.slot_bytes)):
-                yield doc_id, piece, raw[at : at + layout.slot_bytes]
+    def pieces(self, n_ids: int) -> int:
+        return max(1, -(-n_ids // self.stride))
 
 
 def materialised(
@@ -113,96 +108,116 @@ def materialised(
 ) -> DataFrame:
     """Writes all sequences into shards; ``doc_id, piece, slot, shard, byte_offset, n_ids, ids_crc32`` of each.
 
-    Sequences are a document's ids in pieces of at most ``stride``; null and empty texts are one empty sequence. Their
-    numbers follow partitions and rows, as counted by a first pass, so ``documents`` should be a table or another frame
-    that gives the same partitions when read again; the second pass checks that and fails otherwise. Rows are moved once,
-    to the range of shards that holds their slot; each shard is written by one task, first under a name of its own, then
-    renamed, so a task that runs again or twice leaves the same file. Rows come back as read from the written shards.
-    Repeated rows and null ids are sequences like any other. An empty table writes no shard and gives no rows. The number
-    of partitions is all that reaches the driver.
+    Sequences are a document's ids in pieces of at most ``stride``; null and empty texts are one empty sequence. Documents
+    are encoded once, into a compressed table in the shared folder, whose rows carry their number within their partition;
+    the sizes of the partitions, one row each, give the first number of each. Sequences then move once, those of a task
+    and a shard as one compressed row, to the range of shards that holds their slot. Each shard is put together in memory,
+    written by one task under a name of its own and renamed, so a task that runs again or twice leaves the same file. Rows
+    come back as read from the written shards. Repeated rows and null ids are sequences like any other. An empty table
+    writes no shard and gives no rows.
     """
     spark = documents.sparkSession
     folder = folder or shared_folder(spark)
     path = tokenizer or vocabulary()
-    given = projected(documents, doc_id=id_column, text=text_column)
     kind = dict(documents.dtypes)[id_column]
 
-    def count(texts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        n = sum(1 for _ in _sequences(layout, path, texts))
-        yield TaskContext.get().partitionId(), n
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        tokens, part, first = word_tokens(path), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1))):
+                if len(ids) and int(ids.max()) >= layout.pad:
+                    raise ValueError("ids do not fit two bytes")
+                yield part, first, doc_id, ids.astype("<u2").tobytes()
+                first += layout.pieces(len(ids))
 
-    counted = dict(map(tuple, map_rows(given, count, "partition int, n bigint", arrow_in=True).collect()))
-    size = sum(counted.values())
+    given = projected(documents, doc_id=id_column, text=text_column)
+    encoded = durable(
+        map_rows(given, encode, f"part int, first bigint, doc_id {kind}, ids binary", arrow_in=True), compression="zstd"
+    )
+    pieces = F.greatest(F.lit(1), F.ceil(F.length("ids") / layout.slot_bytes))
+    sizes = encoded.groupBy("part").agg(F.max(F.col("first") + pieces).alias("n")).collect()
     firsts, total = {}, 0
-    for partition in sorted(counted):
-        firsts[partition], total = total, total + counted[partition]
-    order = Permutation(max(1, size), key)
-
-    def numbered(texts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        partition = TaskContext.get().partitionId()
-        at, held = firsts.get(partition, 0), []
-
-        def dealt() -> Iterator[tuple]:
-            slots = order.slots(np.arange(at, at + len(held)))
-            for slot, row in zip(slots.tolist(), held):
-                yield (slot // layout.per_shard, slot, *row)
-
-        for row in _sequences(layout, path, texts):
-            held.append(row)
-            if len(held) == 4096:
-                yield from dealt()
-                at, held = at + len(held), []
-        yield from dealt()
-        if at + len(held) - firsts.get(partition, 0) != counted.get(partition, 0):
-            raise RuntimeError("the input gave other rows when read again: write it as a table first")
-
-    placed = map_rows(
-        given, numbered, f"shard bigint, slot bigint, doc_id {kind}, piece int, ids binary", arrow_in=True
+    for part, n in sorted(map(tuple, sizes)):
+        firsts[part], total = total, total + n
+    order, shards = Permutation(max(1, total), key), -(-total // layout.per_shard)
+
+    dealt = map_rows(
+        encoded,
+        lambda batches: _dealt(batches, firsts, order, layout),
+        f"shard bigint, slots array<bigint>, doc_ids array<{kind}>, pieces array<int>, sizes array<int>, ids binary",
+        arrow_in=True,
     )
-    shards = -(-size // layout.per_shard)
-    dealt = placed.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("slot")
+    # Ranges are computed, not sampled: a range holds whole shards that follow one another.
+    ranges = max(1, min(shards, MAX_RANGES))
+    placed = dealt.repartitionById(ranges, F.floor(F.col("shard") * ranges / max(1, shards)).cast("int"))
     return map_rows(
-        dealt,
-        lambda rows: _written(rows, folder, layout),
+        placed.sortWithinPartitions("shard"),
+        lambda rows: _written(rows, folder, total, layout),
         f"doc_id {kind}, piece int, slot bigint, shard bigint, byte_offset bigint, n_ids bigint, ids_crc32 bigint",
     )
 
 
+def _dealt(
+    batches: Iterator[pa.RecordBatch], firsts: dict[int, int], order: Permutation, layout: Layout
+) -> Iterator[tuple]:
+    """For each batch and shard one row with all sequences of the batch that belong there."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        numbers, doc_ids, pieces, parts = [], [], [], []
+        for part, first, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            count = layout.pieces(len(ids) // 2)
+            numbers.append(np.arange(count) + firsts[part] + first)
+            doc_ids += [doc_id] * count
+            pieces += range(count)
+            parts += [ids[k * layout.slot_bytes : (k + 1) * layout.slot_bytes] for k in range(count)]
+        if not numbers:
+            continue
+        slots = order.slots(np.concatenate(numbers))
+        by_shard = np.argsort(slots)
+        shard = slots[by_shard] // layout.per_shard
+        for own in np.split(by_shard, np.flatnonzero(np.diff(shard)) + 1):
+            chosen = own.tolist()
+            yield (
+                int(slots[own[0]]) // layout.per_shard,
+                slots[own].tolist(),
+                [doc_ids[i] for i in chosen],
+                [pieces[i] for i in chosen],
+                [len(parts[i]) // 2 for i in chosen],
+                press.compress(b"".join(parts[i] for i in chosen)),
+            )
+
+
 def shard_path(folder: str, shard: int) -> tuple[pyarrow.fs.FileSystem, str]:
     files, root = pyarrow.fs.FileSystem.from_uri(folder)
     return files, f"{root.rstrip('/')}/shard-{shard:08d}.bin"
 
 
-def _written(rows: Iterator[tuple], folder: str, layout: Layout) -> Iterator[tuple]:
-    """Writes the shards of one task, slot by slot, and gives what is read from them."""
-    out, temporary, current, held = None, "", None, []
-
-    def closed() -> Iterator[tuple]:
-        out.close()
-        files, name = shard_path(folder, current)
+def _written(rows: Iterator[tuple], folder: str, total: int, layout: Layout) -> Iterator[tuple]:
+    """Puts the shards of one task together, one at a time, writes them and gives what is read from them."""
+    unpress = zstandard.ZstdDecompressor()
+    for shard, given in groupby(rows, key=lambda row: row[0]):
+        first = shard * layout.per_shard
+        filled = np.full((min(layout.per_shard, total - first), layout.stride), layout.pad, dtype="<u2")
+        owners: dict[int, tuple] = {}
+        for _, slots, doc_ids, pieces, sizes, pressed in given:
+            ids = np.frombuffer(unpress.decompress(pressed), dtype="<u2")
+            size = np.array(sizes)
+            row = np.repeat(np.array(slots) - first, size)
+            filled[row, np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)] = ids
+            owners.update(zip(slots, zip(doc_ids, pieces)))
+        files, name = shard_path(folder, shard)
+        files.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        temporary = f"{name}.{TaskContext.get().taskAttemptId()}"
+        with files.open_output_stream(temporary) as out:
+            out.write(memoryview(filled).cast("B"))
         files.move(temporary, name)
-        yield from _read(files, name, current, held, layout)
-
-    for shard, slot, doc_id, piece, ids in rows:
-        if shard != current:
-            if out is not None:
-                yield from closed()
-            files, name = shard_path(folder, shard)
-            files.create_dir(name.rsplit("/", 1)[0], recursive=True)
-            temporary = f"{name}.{TaskContext.get().taskAttemptId()}"
-            out, current, held = files.open_output_stream(temporary), shard, []
-        out.write(ids + np.uint16(layout.pad).astype("<u2").tobytes() * (layout.stride - len(ids) // 2))
-        held.append((doc_id, piece, slot))
-    if out is not None:
-        yield from closed()
-
-
-def _read(files: pyarrow.fs.FileSystem, name: str, shard: int, held: list[tuple], layout: Layout) -> Iterator[tuple]:
-    with files.open_input_stream(name) as stream:
-        for doc_id, piece, slot in held:
-            offset = (slot % layout.per_shard) * layout.slot_bytes
-            ids = unpadded(stream.read(layout.slot_bytes), layout)
-            yield doc_id, piece, slot, shard, offset, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+        if len(owners) != len(filled):
+            raise RuntimeError("a slot is empty or filled twice")
+        with files.open_input_stream(name) as stream:
+            for k in range(len(filled)):
+                ids = unpadded(stream.read(layout.slot_bytes), layout)
+                crc = zlib.crc32(ids.astype("<u4").tobytes())
+                yield (*owners[first + k], first + k, shard, k * layout.slot_bytes, len(ids), crc)
 
 
 def unpadded(raw: bytes, layout: Layout) -> np.ndarray:
