@@ -20,9 +20,11 @@ from .common import durable, map_rows, projected
 from .tokens import vocabulary, word_tokens
 
 CAPACITY = 2048
-#: Nodes of the search for one filling, and of the search over fillings. Beyond them the best filling found so far holds.
+#: Nodes of the search for one filling, and of the whole search. Beyond them what is best so far holds; it is complete.
 FILLING_NODES = 20_000
-SEARCH_NODES = 24
+SEARCH_NODES = 3_000_000
+#: Fillings tried at one step, by waste.
+CHOICES = 5
 #: Rows in one group when ranks within a length are dealt out.
 GROUP_ROWS = 100_000
 
@@ -92,7 +94,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [(content, n) for group in bins.values() for content, n in group.items()]
 
 
-def fillings(counts: dict[int, int], room: int, keep: int = 1) -> list[Filling]:
+def fillings(counts: dict[int, int], room: int, keep: int = 1, spent: list[int] | None = None) -> list[Filling]:
     """Undominated fillings of ``room`` from the histogram, fullest first, at most ``keep``.
 
     Depth first from the longest piece that fits: the first leaf is the best fit and the incumbent. A branch ends when
@@ -129,10 +131,14 @@ def fillings(counts: dict[int, int], room: int, keep: int = 1) -> list[Filling]:
         # Popped last in, first out: the most copies of the longest piece come first, none of it last.
         for number in range(0, most + 1):
             stack.append((at + 1, rest - number * length, content + (length,) * number))
+    if spent is not None:
+        spent[0] += nodes + len(lengths)
     return sorted(found, key=lambda c: (found[c], [-x for x in c]))
 
 
-def completed(counts: dict[int, int], capacity: int, limit: int, path: list[int]) -> list[tuple[Filling, int]] | None:
+def completed(
+    counts: dict[int, int], capacity: int, limit: int, path: list[int], spent: list[int]
+) -> list[tuple[Filling, int]] | None:
     """Bin completion around the largest piece left; None once the waste is more than fewer than ``limit`` bins allow.
 
     ``path`` says which filling to take at the first steps, best first; beyond it the fullest is taken. A filling is used
@@ -147,7 +153,7 @@ def completed(counts: dict[int, int], capacity: int, limit: int, path: list[int]
         largest = max(left)
         left[largest] -= 1
         choice = path[step] if step < len(path) else 0
-        options = fillings(left, capacity - largest, keep=choice + 1)
+        options = fillings(left, capacity - largest, choice + 1, spent)
         content = (largest, *options[min(choice, len(options) - 1)])
         left[largest] += 1
         step += 1
@@ -165,26 +171,53 @@ def completed(counts: dict[int, int], capacity: int, limit: int, path: list[int]
     return result
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """Lower bound on the bins: for each limit, what pieces above half leave free must hold those from the limit to half."""
+    sizes = np.array(sorted(counts), dtype=np.int64)
+    many = np.array([counts[x] for x in sizes.tolist()], dtype=np.int64)
+    best = -(-int((sizes * many).sum()) // capacity)
+    for limit in {0, *(x for x in sizes.tolist() if 2 * x <= capacity)}:
+        alone, large = sizes > capacity - limit, (2 * sizes > capacity) & (sizes <= capacity - limit)
+        small = (sizes >= limit) & (2 * sizes <= capacity)
+        free = int((many[large] * (capacity - sizes[large])).sum())
+        rest = int((many[small] * sizes[small]).sum()) - free
+        best = max(best, int(many[alone].sum() + many[large].sum()) + max(0, -(-rest // capacity)))
+    return best
+
+
 def packed_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
     """Fillings with multiplicities that use up the histogram, in as few bins as the search finds.
 
-    The incumbent is best-fit decreasing. While it has more bins than the total length needs, bin completion is run,
-    first with the fullest filling at every step, then with a second choice at one of the first steps, in the manner of
-    a limited discrepancy search.
+    The incumbent is best-fit decreasing. While it has more bins than the lower bound, bin completion is run, first with
+    the fullest filling at every step, then with another choice at one step, later ones last. What has fewer bins is the
+    incumbent from then on, and further choices start from its own. The search ends at the bound, with all choices
+    tried, or when its nodes are spent.
     """
     counts = {int(x): int(n) for x, n in counts.items() if n}
     if not counts:
         return []
-    best = best_fit(counts, capacity)
-    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best, spent = best_fit(counts, capacity), [0]
+    least = least_bins(counts, capacity)
     bins = lambda plan: sum(n for _, n in plan)
-    for attempt in range(SEARCH_NODES):
-        if bins(best) == least:
+    base: list[int] = []
+    tries = iter([[]])
+    while bins(best) > least and spent[0] < SEARCH_NODES:
+        path = next(tries, None)
+        if path is None:
             break
-        path = [] if not attempt else [0] * ((attempt - 1) // 2) + [1 + (attempt - 1) % 2]
-        found = completed(counts, capacity, bins(best), path)
-        if found is not None and bins(found) < bins(best):
-            best = found
+        found = completed(counts, capacity, bins(best), path, spent)
+        better = found is not None and bins(found) < bins(best)
+        if better:
+            best, base = found, path
+        if better or not path:
+            steps = len(best)
+            tries = iter(
+                [
+                    [*(base + [0] * steps)[:step], choice, *base[step + 1 :]]
+                    for choice in range(1, CHOICES)
+                    for step in range(steps)
+                ]
+            )
     return best
 
 
