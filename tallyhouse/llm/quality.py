@@ -17,6 +17,8 @@ MAX_REPEATED_PERCENT = 50
 MAX_HOST_RATE = 0.8
 #: Weight in documents of the prior if host rates vary no more than chance, or only one host is there.
 MAX_PRIOR_WEIGHT = 1000.0
+#: Hosts, of some hundred bytes at most, that are broadcast.
+BROADCAST_HOSTS = 100_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -139,13 +141,16 @@ def judged(
 def kept_documents(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that :func:`judged` keeps, with all their columns.
 
-    The verdict on a row follows from its own text and its host's rate, so only the few rejected hosts are joined to the
-    documents and the rows themselves are measured where they are.
+    The verdict on a row follows from its own text and its host's rate, so only the rejected hosts are joined to the
+    documents and the rows themselves are measured where they are. Rejected hosts are counted first: up to
+    ``BROADCAST_HOSTS`` are broadcast, so that no document moves; more are joined by a shuffle on the host.
     """
     host, text = options.get("host_column", "source"), options.get("text_column", "text")
     limit = options.get("max_host_rate", MAX_HOST_RATE)
     rows = measured(documents, options.get("id_column", "doc_id"), text, host)
-    rejected = host_rates(rows).where(F.col("host_rate") > limit).select(F.col("host").alias("_rejected_host"))
+    rejected = durable(host_rates(rows).where(F.col("host_rate") > limit).select(F.col("host").alias("_rejected_host")))
+    if rejected.count() <= BROADCAST_HOSTS:
+        rejected = F.broadcast(rejected)
 
     @F.pandas_udf("boolean")
     def passes(texts):

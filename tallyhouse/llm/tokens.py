@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Cached pieces of one Python worker; the cache starts anew when full.
-CACHE = 1_000_000
+CACHE = 500_000
 #: Bytes of text whose pieces are looked up together; a longer text is looked up alone.
-TOGETHER = 16 << 20
+TOGETHER = 8 << 20
 _LOADED: dict[str, PieceCache] = {}
 #: Latin letters that are their own composed form and have simple lower-case forms, then ASCII marks.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]{0,8})")
