@@ -209,8 +209,8 @@ _FENCED = """
 @query(
     "t9_boxes",
     f"""SELECT grp AS "group", variable, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
-      round(min(val) FILTER (val BETWEEN low_fence AND high_fence), 6) AS whisker_low,
-      round(max(val) FILTER (val BETWEEN low_fence AND high_fence), 6) AS whisker_high,
+      round(least(q1, min(val) FILTER (val BETWEEN low_fence AND high_fence)), 6) AS whisker_low,
+      round(greatest(q3, max(val) FILTER (val BETWEEN low_fence AND high_fence)), 6) AS whisker_high,
       count(*) FILTER (val NOT BETWEEN low_fence AND high_fence) AS outliers FROM {_FENCED} GROUP BY grp, variable, q1, median, q3""",
 )
 def boxes(t):

@@ -155,15 +155,16 @@ def _fenced(long: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def box_table(long: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Quartiles, whiskers at the last value within 1.5 interquartile ranges, outlier count."""
+    """Quartiles, whiskers, outlier count. Whiskers reach to the last value within 1.5 interquartile ranges, or to the
+    quartile where that lies beyond it."""
     value = F.col("value")
     inside = value.between(F.col("low_fence"), F.col("high_fence"))
     return (
         _fenced(long, groups)
         .groupBy(*KEY, "q1", "median", "q3")
         .agg(
-            F.min(F.when(inside, value)).alias("whisker_low"),
-            F.max(F.when(inside, value)).alias("whisker_high"),
+            F.least("q1", F.min(F.when(inside, value))).alias("whisker_low"),
+            F.greatest("q3", F.max(F.when(inside, value))).alias("whisker_high"),
             F.count(F.when(~inside, 1)).alias("outliers"),
         )
     )

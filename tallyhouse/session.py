@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Methods of more bytecode are not compiled by the JVM; such stages run unfused, which is faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Call-site capture costs more than building the expressions it describes.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

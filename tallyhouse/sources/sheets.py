@@ -63,7 +63,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
     Types are inferred for CSV. Blank text and NA both become missing.
     """
-    if "csv" in path.lower():
+    if "csv" in path.rstrip("/").rsplit("/", 1)[-1].lower():
         options = {"header": True, "inferSchema": True, "nullValue": "NA"}
         return headers.syntactic(spark.read.options(**options).csv(path))
     return spark.read.parquet(path)

@@ -63,3 +63,9 @@ def test_column_choice(frame):
 def test_day_of_timestamp(frame):
     df = frame("t timestamp_ntz", (dt.datetime(2022, 12, 31, 23, 59),))
     assert df.select(on_day("t")).first()[0] == dt.date(2022, 12, 31)
+
+
+def test_the_file_name_chooses_the_reader(spark, tmp_path):
+    path = f"{tmp_path}/csv_exports/scores.parquet"
+    spark.range(3).write.parquet(path)
+    assert sheets.read_table(spark, path).columns == ["id"]

@@ -30,10 +30,21 @@ def test_t_tail_known_value_and_limits():
     assert math.isnan(student.two_sided_p(1.0, float("nan")))
 
 
-def test_t_tail_joins_its_large_sample_form():
-    below, above = student.LARGE_DF * 0.999999, student.LARGE_DF * 1.000001
-    for t in (0.5, 1.96, 4.0):
-        assert student.two_sided_p(t, below) == pytest.approx(student.two_sided_p(t, above), rel=1e-7)
+@pytest.mark.parametrize("df", [1e5, 1e6, 1e7, 1e9, 1e12])
+@pytest.mark.parametrize("t", [0.0, 0.5, 1.96, 4.0, 12.0, 30.0])
+def test_t_tail_by_the_normal_tail_and_its_series(t, df):
+    """Expansion of the tail in 1/df, to the second order, about the normal tail."""
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    first = t * (t**2 + 1) / 4
+    second = t * (3 * t**6 - 7 * t**4 - 5 * t**2 - 3) / 96
+    expected = math.erfc(t / math.sqrt(2)) + 2 * density * (first / df + second / df**2)
+    assert student.two_sided_p(t, df) == pytest.approx(expected, rel=1e-11 + (t**4 / df) ** 3)
+
+
+def test_t_tail_of_few_degrees_of_freedom():
+    for t in (0.0, 0.01, 1.0, 50.0, 1e6):
+        assert student.two_sided_p(t, 1) == pytest.approx(2 / math.pi * math.atan2(1, t), rel=1e-10)
+        assert student.two_sided_p(t, 2) == pytest.approx(2 / (2 + t * t + t * math.sqrt(2 + t * t)), rel=1e-10)
 
 
 @pytest.mark.parametrize("df", [1.5, 8, 120, 5e6])
@@ -203,3 +214,9 @@ def test_names_with_dots_and_spaces(spark):
     assert significance.boxes(table, normalised=True).count() == 4
     assert significance.histogram(table, "Basic.Needs").count() > 5
     assert significance.ridges(table, "Basic.Needs", 8).count() == 16
+
+
+def test_whiskers_reach_the_quartiles(frame):
+    long = frame("group string, variable string, value double", *(("x", "v", v) for v in (-100.0, 10.0, 11.0, 12.0)))
+    row = distributions.box_table(long, ["x"]).first()
+    assert (row.q1, row.whisker_low, row.whisker_high, row.outliers) == (-17.5, -17.5, 12.0, 1)
