@@ -114,7 +114,7 @@ def contamination(
 
     ``spans`` are merged word spans ``[start, stop)`` inside occurrences of windows, ``items`` the distinct ids, as
     sorted strings, of items with an occurring window (the text ``null`` stands for a null id). The benchmark is cut by a
-    hash of its texts into passes whose patterns have a bounded number of words; only one pass is held at a time, and
+    hash of its rows into passes whose patterns have a bounded number of words; only one pass is held at a time, and
     each pass goes over all documents without a shuffle. Null and empty texts have no words: such documents have no
     spans, such items no windows. Repeated rows are each answered. Empty tables give no rows, or no spans. Other columns
     are ignored.
@@ -148,7 +148,7 @@ def _searched(
     passes = max(1, math.ceil(total / 2 * window / pass_words))
     found = given
     for number in range(passes):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == number).collect()
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == number).collect()
         held = [("null" if r[0] is None else r[0], r[1]) for r in part]
         name = f"_hits{number}"
         found = found.withColumn(name, _search(given.sparkSession.sparkContext.broadcast(held), window)("text"))
