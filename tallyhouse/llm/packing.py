@@ -27,6 +27,7 @@ SEARCH_NODES = 3_000_000
 CHOICES = 5
 #: Rows in one group when ranks within a length are dealt out.
 GROUP_ROWS = 100_000
+DEAL_SEED = 42
 
 Filling = tuple[int, ...]
 
@@ -240,14 +241,16 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (``doc_id, piece, start, length, ...``, lengths of 1 to ``capacity``) with ``sequence_id, offset``.
 
     Only the histogram of lengths, at most ``capacity`` rows, reaches the driver. Ranks within a length are counted in
-    groups of bounded size, dealt out by a hash of the row, so a length that holds a third of all rows is spread. Ties
-    of identical rows may change places, which makes no difference. Rows should be durable: they are read twice.
+    groups of bounded size. Rows are dealt to groups by a random number that is written with them, so that neither a
+    length nor an id, null or repeated, that holds a third of all rows is in one group. Ties of identical rows may change
+    places, which makes no difference.
     """
     spark = rows.sparkSession
-    total = rows.count()
+    written = durable(rows.withColumn("_deal", F.floor(F.rand(DEAL_SEED) * (1 << 31)).cast("int")))
+    total = written.count()
     groups = max(1, -(-total // GROUP_ROWS))
     keys = [F.col(c) for c in ("doc_id", "piece", "start")]
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int"))
+    dealt = written.withColumn("_group", F.pmod("_deal", F.lit(groups))).drop("_deal")
     sizes = dealt.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}
     plan = spark.sparkContext.broadcast(slots(packed_counts(histogram, capacity)))
@@ -282,7 +285,7 @@ def packed_documents(documents: DataFrame, tokenizer: str | None = None, capacit
     rows. The pieces' rows, without their ids, are written to the shared folder, so the tokenizer runs once.
     """
     rows = digested(pieces(documents, tokenizer, capacity, **options))
-    return packed(durable(rows), capacity).select(
+    return packed(rows, capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 

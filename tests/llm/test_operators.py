@@ -495,6 +495,17 @@ def test_packing(docs, rows):
     assert len(sequences) <= packing.least_bins(Counter(f[3] for f in found), 256) + 2
 
 
+def test_packing_of_repeated_rows_under_a_null_id(spark, monkeypatch):
+    """Every slot is filled once though the rows cannot be told apart."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 100)
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, id, null) AS doc_id", "0 AS piece", "0L AS start", "1 + id % 2 * 6 AS length")
+    found = packing.packed(rows, 8)
+    assert found.columns == ["doc_id", "piece", "start", "length", "sequence_id", "offset"]
+    held = collected(found)
+    assert len(held) == 3000 and len({f[-2:] for f in held}) == 3000
+    assert Counter(f[3] for f in held) == {1: 1500, 7: 1500} and len({f[-2] for f in held}) == 1500
+
+
 def fewest_bins(pieces, capacity):
     """Fewest bins by trying all: small cases only."""
     best = len(pieces)
