@@ -90,30 +90,28 @@ def group_means(t):
     return _rounded(rows.select("group", "variable", "n", "mean"))
 
 
-@query(
-    "a11_f11_scaled",
-    """SELECT grp AS "group", round((basic_needs - b0) / (b1 - b0), 6) AS basic_needs, round((risk - r0) / (r1 - r0), 6) AS risk, count(*) AS n
-      FROM compared, (SELECT min(basic_needs) AS b0, max(basic_needs) AS b1, min(risk) AS r0, max(risk) AS r1 FROM compared)
-      GROUP BY 1, 2, 3""",
-)
+def _scaled_sql(strict: bool) -> str:
+    def share(f: str) -> str:
+        scaled = f"({f} - min({f}) OVER ()) / nullif(max({f}) OVER () - min({f}) OVER (), 0)"
+        return f"round(CASE WHEN count({f}) OVER () = count(*) OVER () THEN {scaled} END, 6)" if strict else f"round({scaled}, 6)"
+
+    shares = ", ".join(f"{share(f)} AS {f}" for f in FACTORS)
+    return f"""SELECT "group", {', '.join(FACTORS)}, count(*) AS n FROM (SELECT grp AS "group", {shares} FROM compared) GROUP BY ALL"""
+
+
+def _scaled_rows(t, strict: bool):
+    rows = _rounded(reshape.scaled(_comparison(t).rows, FACTORS, strict=strict).select("group", *FACTORS))
+    return rows.groupBy("group", *FACTORS).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a11_f11_scaled", _scaled_sql(strict=False))
 def scaled(t):
-    rows = reshape.scaled(_comparison(t).rows, ["basic_needs", "risk"], strict=False)
-    return _rounded(rows.select("group", "basic_needs", "risk")).groupBy("group", "basic_needs", "risk").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return _scaled_rows(t, strict=False)
 
 
-@query(
-    "f10_scaled_strict",
-    """SELECT grp AS "group", round((basic_needs - b0) / (b1 - b0), 6) AS basic_needs, CAST(NULL AS DOUBLE) AS risk, count(*) AS n
-      FROM compared, (SELECT min(basic_needs) AS b0, max(basic_needs) AS b1 FROM compared)
-      GROUP BY 1, 2, 3""",
-)
+@query("f10_scaled_strict", _scaled_sql(strict=True))
 def scaled_strict(t):
-    rows = reshape.scaled(_comparison(t).rows, ["basic_needs", "risk"], strict=True)
-    return _rounded(rows.select("group", "basic_needs", "risk")).groupBy("group", "basic_needs", "risk").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return _scaled_rows(t, strict=True)
 
 
 # --- tests --------------------------------------------------------------------
@@ -176,13 +174,13 @@ def bands(t):
 
 @query(
     "t7_distributions",
-    """SELECT grp AS "group", variable, round(val, 3) AS value, count(*) AS n,
+    """SELECT grp AS "group", variable, round(val, 9) AS value, count(*) AS n,
       CAST(CASE variable WHEN 'basic_needs' THEN 1 WHEN 'overall' THEN 2 ELSE 3 END AS INTEGER) AS place
-      FROM compared_scaled WHERE variable <> 'overall' GROUP BY 1, 2, 3""",
+      FROM compared_scaled GROUP BY 1, 2, 3""",
 )
 def scaled_distributions(t):
-    rows = _comparison(t).distributions().filter(F.col("variable") != "overall")
-    return _rounded(rows, 3).groupBy("group", "variable", "value", "place").agg(F.count(F.lit(1)).alias("n"))
+    rows = _comparison(t).distributions()
+    return _rounded(rows, 9).groupBy("group", "variable", "value", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
 _QUARTILES = """round(quantile_cont(val, 0.25), 6) AS q1, round(quantile_cont(val, 0.5), 6) AS median,
@@ -247,11 +245,11 @@ def _density_sql(source: str, cut: float, shared: bool) -> str:
   SELECT grp, variable, n, {joint} FROM (
     SELECT grp, variable, count(*) AS n, min(val) AS own_low, max(val) AS own_high,
       0.9 * least(stddev_samp(val), (quantile_cont(val, 0.75) - quantile_cont(val, 0.25)) / 1.34) * pow(count(*), -0.2) AS own_bw
-    FROM {source} WHERE val IS NOT NULL AND grp IS NOT NULL GROUP BY 1, 2)
+    FROM {source} WHERE val IS NOT NULL GROUP BY 1, 2)
 ), nodes AS (
   SELECT grp, variable, CAST(floor(place) AS BIGINT) AS node, count(*) AS rows_here, sum(place - floor(place)) AS to_right FROM (
     SELECT s.grp, s.variable, (val - low) / (high - low) * 511 AS place
-    FROM {source} s JOIN widths w ON s.grp = w.grp AND s.variable = w.variable WHERE val IS NOT NULL)
+    FROM {source} s JOIN widths w ON s.grp IS NOT DISTINCT FROM w.grp AND s.variable = w.variable WHERE val IS NOT NULL)
   GROUP BY 1, 2, 3
 ), grid AS (
   SELECT *, low - {cut} * bw + step * (high - low + 2 * {cut} * bw) / 511 AS x, (high - low) / 511 AS gap
@@ -260,7 +258,7 @@ def _density_sql(source: str, cut: float, shared: bool) -> str:
 SELECT g.grp AS "group", g.variable, CAST(step AS INTEGER) AS step, round(any_value(x), 6) AS x,
   round(sum((rows_here - to_right) * exp(-0.5 * pow((x - low - node * gap) / bw, 2))
     + to_right * exp(-0.5 * pow((x - low - (node + 1) * gap) / bw, 2))) / any_value(n * bw * sqrt(2 * pi())), 6) AS density
-FROM grid g JOIN nodes k ON g.grp = k.grp AND g.variable = k.variable GROUP BY 1, 2, 3
+FROM grid g JOIN nodes k ON g.grp IS NOT DISTINCT FROM k.grp AND g.variable = k.variable GROUP BY 1, 2, 3
 """
 
 
@@ -272,3 +270,23 @@ def violins(t):
 @query("t11_ridges", _density_sql("equity_needs", 3.0, True))
 def ridges(t):
     return _rounded(significance.ridges(t.assessments, "basic_needs"))
+
+
+@query(
+    "t11_ridge_medians",
+    """SELECT grp AS "group", variable, round(quantile_cont(val, 0.5), 6) AS median FROM equity_needs WHERE val IS NOT NULL GROUP BY 1, 2""",
+)
+def ridge_medians(t):
+    return _rounded(significance.ridge_medians(t.assessments, "basic_needs"))
+
+
+@query(
+    "t9_significance_boxes",
+    f"""SELECT grp AS "group", variable, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+      round(least(q1, min(val) FILTER (val BETWEEN low_fence AND high_fence)), 6) AS whisker_low,
+      round(greatest(q3, max(val) FILTER (val BETWEEN low_fence AND high_fence)), 6) AS whisker_high,
+      count(*) FILTER (val NOT BETWEEN low_fence AND high_fence) AS outliers FROM {_FENCED.replace('compared_long', 'equity_long').replace('c.grp = q.grp', 'c.grp IS NOT DISTINCT FROM q.grp')}
+      GROUP BY grp, variable, q1, median, q3""",
+)
+def significance_boxes(t):
+    return _rounded(significance.boxes(t.assessments))

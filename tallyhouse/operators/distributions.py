@@ -2,12 +2,14 @@
 
 ``long`` has the columns group, variable and value (see ``reshape.to_long``). The
 groups of a comparison are named by the caller, so every table per group and variable
-has a size fixed by the query, not by the data, and may be broadcast.
+has a size fixed by the query, not by the data, and may be broadcast. A missing group is a
+group of its own where the caller names it, as None.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +20,11 @@ from .reshape import scaled_long
 
 KEY = ["group", "variable"]
 QUARTILES = (0.25, 0.5, 0.75)
-# Rank error of the pilot sketch is 1 / ACCURACY of the rows.
-ACCURACY = 100_000
-# Slices of a bracket whose rows are counted before any value is put in order.
-SLICES = 1024
+# Cells per doubling of a value, and even slices of a cell.
+PER_DOUBLING = 256
+SLICES = 4096
+# Beyond the exponents of all doubles, from -1074 to 1024.
+EXPONENTS = 1100
 
 
 def distribution_rows(df: DataFrame, factors: Sequence[str], *, strict: bool = False) -> DataFrame:
@@ -31,112 +34,121 @@ def distribution_rows(df: DataFrame, factors: Sequence[str], *, strict: bool = F
     return long.withColumn("place", place.cast("int"))
 
 
-def _of_groups(long: DataFrame, groups: Sequence[str]) -> DataFrame:
-    known = F.col("group").isin(list(groups)) & F.col("value").isNotNull()
-    return long.filter(known).select("group", "variable", "value")
+def _of_groups(long: DataFrame, groups: Sequence[str | None]) -> DataFrame:
+    """Known values of the named groups; None names the missing group."""
+    group = F.col("group")
+    named = group.isin([g for g in groups if g is not None])
+    if None in groups:
+        named = named | group.isNull()
+    return long.filter(named & F.col("value").isNotNull()).select(*KEY, "value")
+
+
+def _cell(value: Column) -> Column:
+    """Number of a narrow range of values, in the order of the values: sign, then logarithm of the size."""
+    size = F.least(F.log2(F.abs(value)), F.lit(float(EXPONENTS)))
+    place = F.floor(size * PER_DOUBLING) + EXPONENTS * PER_DOUBLING
+    return F.when(value > 0, place).when(value < 0, -place).otherwise(F.lit(0).cast("long"))
 
 
 def summary(
     long: DataFrame,
-    groups: Sequence[str],
+    groups: Sequence[str | None],
     probs: Sequence[float] = QUARTILES,
-    *,
-    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Size, range, deviation and exact quantiles (linear interpolation) in one row.
 
     Columns: group, variable, n, low, high, sd and ``quantiles``, one per prob.
 
-    A sketch brackets each wanted rank; a second pass counts the rows between the
-    brackets and tallies the values inside them, groups of up to ``accuracy`` rows taking
-    all their values as one bracket. Each bracket is cut into slices, the slices' running
-    totals say which ones hold a wanted rank, and only the distinct values of those are
-    put in order. A bracket that missed its rank raises an error.
+    One pass counts the rows of each cell, a range of values whose number any task can tell from the value alone. The
+    cells' running totals say which ones hold a wanted rank. A second pass cuts those into even slices, and only the
+    distinct values of the slices that hold a rank are put in order. Counts are combined within tasks, a key has at most
+    ``2 * EXPONENTS * PER_DOUBLING`` cells whatever its rows, and repeated values are one row.
     """
-    long = long.select(*KEY, "value").dropna(subset=["value"])
-    value, n = F.col("value"), F.col("n")
-    margin = 4 / accuracy
-    edges = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-margin, margin)]
-    pilot = _of_groups(long, groups).groupBy(*KEY).agg(
-        F.count("value").alias("n"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-        F.stddev_samp("value").alias("sd"),
-        F.percentile_approx("value", edges, accuracy).alias("edges"),
+    rows = _of_groups(long, groups)
+    value, n, count = F.col("value"), F.col("n"), F.col("rows")
+    ranks = [(n - 1) * F.lit(float(p)) for p in probs]
+    wanted = [f(rank) for rank in ranks for f in (F.floor, F.ceil)]
+
+    def holds_a_rank(before: Column) -> Column:
+        return reduce(Column.__or__, [(before <= at) & (before + count > at) for at in wanted])
+
+    cells = rows.groupBy(*KEY, _cell(value).alias("cell")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("value").alias("cell_low"),
+        F.max("value").alias("cell_high"),
+        F.avg("value").alias("cell_mean"),
+        F.var_pop("value").alias("cell_var"),
+    )
+    whole = Window.partitionBy(*KEY)
+    totals = cells.withColumns(
+        {
+            "n": F.sum("rows").over(whole),
+            "low": F.min("cell_low").over(whole),
+            "high": F.max("cell_high").over(whole),
+            "mean": F.sum(count * F.col("cell_mean")).over(whole) / F.sum("rows").over(whole),
+            "before": F.sum("rows").over(whole.orderBy("cell")) - count,
+        }
     )
-    known = F.when(n > accuracy, F.col("edges"))
-    inside, place, shares = F.lit(False), F.lit(0), []
-    for i in range(len(probs)):
-        first = F.coalesce(known[2 * i], F.col("low"))
-        last = F.coalesce(known[2 * i + 1], F.col("high"))
-        inside = inside | value.between(first, last)
-        place = place + (value >= first).cast("int") + (value > last).cast("int")
-        share = F.coalesce(F.try_divide(value - first, last - first), F.lit(0.0))
-        shares.append(F.when(value.between(first, last), F.floor(share * SLICES)))
+    apart = F.col("cell_mean") - F.col("mean")
+    squares = F.sum(count * (F.col("cell_var") + apart * apart)).over(whole)
     fixed = [*KEY, "n", "low", "high", "sd"]
-    cell = [*fixed, "place", "slice"]
+    needed = (
+        totals.withColumn("sd", F.when(n > 1, F.sqrt(squares / (n - 1))))
+        .filter(holds_a_rank(F.col("before")))
+        .select(*fixed, "cell", "cell_low", "cell_high", "before")
+    )
+    share = F.try_divide(value - F.col("cell_low"), F.col("cell_high") - F.col("cell_low"))
+    known_share = F.when(~F.isnan(share), share)
     # Null-safe joins: Spark infers no filter through them, so both uses of the tally stay
     # alike and share one shuffle.
     tally = (
-        join_on(long, F.broadcast(pilot), KEY, "inner")
-        .groupBy(
-            *fixed,
-            place.alias("place"),
-            F.coalesce(*shares, F.lit(-1)).alias("slice"),
-            F.when(inside, value).alias("value"),
-        )
+        join_on(rows.withColumn("cell", _cell(value)), F.broadcast(needed), [*KEY, "cell"], "inner")
+        .groupBy(*fixed, "cell", "before", F.coalesce(F.floor(known_share * SLICES), F.lit(0)).alias("slice"), "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    ranks = [(n - 1) * F.lit(float(p)) for p in probs]
-    wanted = [f(rank) for rank in ranks for f in (F.floor, F.ceil)]
-    holds = F.lit(False)
-    for at in wanted:
-        holds = holds | ((F.col("before") <= at) & (F.col("before") + F.col("rows") > at))
-    cells = Window.partitionBy(*KEY).orderBy("place", "slice")
-    needed = (
-        tally.groupBy(*cell)
+    within_cell = Window.partitionBy(*KEY, "cell").orderBy("slice")
+    slices = (
+        tally.groupBy(*KEY, "n", "cell", "before", "slice")
         .agg(F.sum("rows").alias("rows"))
-        .withColumn("before", F.sum("rows").over(cells) - F.col("rows"))
-        .filter(holds)
-        .select(*KEY, "place", "slice", "before")
+        .withColumn("first", F.col("before") + F.sum("rows").over(within_cell) - count)
+        .filter(holds_a_rank(F.col("first")))
+        .select(*KEY, "cell", "slice", "first")
     )
-    within_cell = Window.partitionBy(*KEY, "place", "slice").orderBy("value")
-    ordered = join_on(tally, F.broadcast(needed), [*KEY, "place", "slice"], "inner")
-    ordered = ordered.withColumn("upto", F.col("before") + F.sum("rows").over(within_cell))
-    upto = F.col("upto")
+    within_slice = Window.partitionBy(*KEY, "cell", "slice").orderBy("value")
+    ordered = join_on(tally, F.broadcast(slices), [*KEY, "cell", "slice"], "inner").withColumn(
+        "place", F.col("first") + F.sum("rows").over(within_slice) - count
+    )
+    place = F.col("place")
     at_rank = [
-        F.min(F.when(upto > at, F.struct("upto", "value")))["value"].alias(f"at{i}")
+        F.max(F.when((place <= at) & (place + count > at), value)).alias(f"at{i}")
         for i, at in enumerate(wanted)
     ]
     found = ordered.groupBy(*fixed).agg(*at_rank)
-    missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
     results = []
     for i, rank in enumerate(ranks):
         lower, upper = F.col(f"at{2 * i}"), F.col(f"at{2 * i + 1}")
-        results.append(F.coalesce(lower + (rank - F.floor(rank)) * (upper - lower), missed))
+        results.append(lower + (rank - F.floor(rank)) * (upper - lower))
     return found.select(*fixed, F.array(*results).alias("quantiles"))
 
 
 def quantiles(
     long: DataFrame,
-    groups: Sequence[str],
+    groups: Sequence[str | None],
     probs: Sequence[float] = QUARTILES,
-    *,
-    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Exact quantiles: rows (group, variable, prob, value)."""
     rows = [
         F.struct(F.lit(float(p)).alias("prob"), F.col("quantiles")[i].alias("value"))
         for i, p in enumerate(probs)
     ]
-    return summary(long, groups, probs, accuracy=accuracy).select(*KEY, F.inline(F.array(*rows)))
+    return summary(long, groups, probs).select(*KEY, F.inline(F.array(*rows)))
 
 
 def _named_quartiles(q: str) -> list[Column]:
     return [F.col(q)[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))]
 
 
-def quartile_table(long: DataFrame, groups: Sequence[str], *, approximate: bool = False) -> DataFrame:
+def quartile_table(long: DataFrame, groups: Sequence[str | None], *, approximate: bool = False) -> DataFrame:
     """Median and quartiles per (group, variable): q1, median, q3."""
     if approximate:
         sketch = F.percentile_approx("value", list(QUARTILES), 10_000)
@@ -146,15 +158,15 @@ def quartile_table(long: DataFrame, groups: Sequence[str], *, approximate: bool
     return rows.select(*KEY, *_named_quartiles("quantiles"))
 
 
-def _fenced(long: DataFrame, groups: Sequence[str]) -> DataFrame:
+def _fenced(long: DataFrame, groups: Sequence[str | None]) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     quartiles = quartile_table(long, groups).withColumns(
         {"low_fence": F.col("q1") - reach, "high_fence": F.col("q3") + reach}
     )
-    return _of_groups(long, groups).join(F.broadcast(quartiles), KEY)
+    return join_on(_of_groups(long, groups), F.broadcast(quartiles), KEY, "inner")
 
 
-def box_table(long: DataFrame, groups: Sequence[str]) -> DataFrame:
+def box_table(long: DataFrame, groups: Sequence[str | None]) -> DataFrame:
     """Quartiles, whiskers, outlier count. Whiskers reach to the last value within 1.5 interquartile ranges, or to the
     quartile where that lies beyond it."""
     value = F.col("value")
@@ -170,7 +182,7 @@ def box_table(long: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def outlier_values(long: DataFrame, groups: Sequence[str]) -> DataFrame:
+def outlier_values(long: DataFrame, groups: Sequence[str | None]) -> DataFrame:
     """Values beyond the whiskers, each with its number of rows."""
     outside = ~F.col("value").between(F.col("low_fence"), F.col("high_fence"))
     return _fenced(long, groups).filter(outside).groupBy(*KEY, "value").agg(F.count(F.lit(1)).alias("n"))
@@ -186,7 +198,7 @@ def histogram(df: DataFrame, group: str, factor: str) -> DataFrame:
     )
 
 
-def bandwidths(long: DataFrame, groups: Sequence[str]) -> DataFrame:
+def bandwidths(long: DataFrame, groups: Sequence[str | None]) -> DataFrame:
     """Range, size and rule-of-thumb kernel bandwidth per (group, variable)."""
     rows = summary(long, groups, (0.25, 0.75))
     iqr = (F.col("quantiles")[1] - F.col("quantiles")[0]) / 1.34
@@ -213,7 +225,7 @@ def _shared(widths: DataFrame) -> DataFrame:
 
 def density(
     long: DataFrame,
-    groups: Sequence[str],
+    groups: Sequence[str | None],
     *,
     points: int = 512,
     cut: float = 0.0,
@@ -235,8 +247,7 @@ def density(
         F.lit(0.0),
     )
     nodes = (
-        _of_groups(long, groups)
-        .join(F.broadcast(widths), KEY)
+        join_on(_of_groups(long, groups), F.broadcast(widths), KEY, "inner")
         .select(*KEY, place.alias("place"))
         .groupBy(*KEY, F.floor("place").alias("node"))
         .agg(
@@ -249,7 +260,7 @@ def density(
     gap = (F.col("high") - F.col("low")) / (points - 1)
     start = F.col("low") - cut * F.col("bandwidth")
     stride = (F.col("high") - F.col("low") + 2 * cut * F.col("bandwidth")) / (points - 1)
-    grid = nodes.join(F.broadcast(widths), KEY).select(
+    grid = join_on(nodes, F.broadcast(widths), KEY, "inner").select(
         *KEY, "n", "low", "bandwidth", "nodes", gap.alias("gap"), start.alias("start"), stride.alias("stride"),
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("step"),
     ).withColumn("x", F.col("start") + F.col("step") * F.col("stride"))

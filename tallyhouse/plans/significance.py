@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from ..operators import compare, distributions, reshape
 
 GROUPS = ("BIPOC", "White")
+# Tests compare the two groups; tables and charts show rows of unknown group beside them.
+SHOWN = (*GROUPS, None)
 
 
 def tests(assessments: DataFrame, *, normalised: bool = False) -> DataFrame:
@@ -28,7 +30,7 @@ def long_rows(assessments: DataFrame, *, normalised: bool = False) -> DataFrame:
 
 
 def boxes(assessments: DataFrame, *, normalised: bool = False) -> DataFrame:
-    return distributions.box_table(long_rows(assessments, normalised=normalised), GROUPS)
+    return distributions.box_table(long_rows(assessments, normalised=normalised), SHOWN)
 
 
 def histogram(assessments: DataFrame, factor: str) -> DataFrame:
@@ -38,5 +40,15 @@ def histogram(assessments: DataFrame, factor: str) -> DataFrame:
 def ridges(assessments: DataFrame, factor: str, points: int = 512) -> DataFrame:
     """Density of one factor per group, reaching three bandwidths beyond the data, with
     a joint bandwidth."""
-    long = reshape.to_long(compare.equity_groups(assessments), "group", [factor])
-    return distributions.density(long, GROUPS, points=points, cut=3.0, shared=True)
+    long = _one_factor(assessments, factor)
+    return distributions.density(long, SHOWN, points=points, cut=3.0, shared=True)
+
+
+def ridge_medians(assessments: DataFrame, factor: str) -> DataFrame:
+    """The line drawn into each ridge."""
+    rows = distributions.quartile_table(_one_factor(assessments, factor), SHOWN)
+    return rows.select("group", "variable", "median")
+
+
+def _one_factor(assessments: DataFrame, factor: str) -> DataFrame:
+    return reshape.to_long(compare.equity_groups(assessments), "group", [factor])

@@ -121,12 +121,11 @@ def test_bands_and_stars_include_their_limits(frame):
     assert got == [("green", "*"), ("yellow", "ns"), ("white", "ns"), ("green", "****"), ("green", "**"), ("white", None)]
 
 
-@pytest.mark.parametrize("accuracy", [100, 1000, 100_000])
-def test_exact_quantiles(sample, accuracy):
+def test_exact_quantiles(sample):
     df, rows = sample
     long = reshape.to_long(df, "group", FACTORS)
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
-    got = {(r.group, r.variable, r.prob): r.value for r in distributions.quantiles(long, GROUPS, probs, accuracy=accuracy).collect()}
+    got = {(r.group, r.variable, r.prob): r.value for r in distributions.quantiles(long, GROUPS, probs).collect()}
     assert len(got) == 2 * 4 * len(probs)
     for (group, variable, p), value in got.items():
         x = column(rows, group, FACTORS.index(variable) + 1)
@@ -139,10 +138,38 @@ def test_exact_quantiles_with_one_hot_value_and_outliers(spark):
     values = [4.0] * 4000 + [math.exp(rng.uniform(-30, 30)) for _ in range(8000)]
     rng.shuffle(values)
     long = spark.createDataFrame([("x", "v", v) for v in values], "group string, variable string, value double")
-    for accuracy in (200, 2000):
-        got = {r.prob: r.value for r in distributions.quantiles(long, ["x"], accuracy=accuracy).collect()}
-        for p, value in got.items():
-            assert value == pytest.approx(np.quantile(values, p), rel=1e-12)
+    got = {r.prob: r.value for r in distributions.quantiles(long, ["x"]).collect()}
+    for p, value in got.items():
+        assert value == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_exact_quantiles_of_both_signs_and_all_sizes(spark, seed):
+    """Values of both signs, zeros, the smallest and largest doubles, and some that differ in their last bits only."""
+    rng = random.Random(seed)
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1.0, -1.0, 2.0, 4.0]
+    values += [rng.choice((-1, 1)) * math.exp(rng.uniform(-40, 40)) for _ in range(300)]
+    values += [1.6e9 + rng.randint(0, 9) * 2.0**-22 for _ in range(700 * (seed % 2))]
+    long = spark.createDataFrame([("x", "v", v) for v in values], "group string, variable string, value double")
+    probs = (0.0, 0.01, 0.25, 0.3, 0.5, 0.75, 0.9, 1.0)
+    row = distributions.summary(long, ["x"], probs).first()
+    assert (row.n, row.low, row.high) == (len(values), min(values), max(values))
+    assert row.quantiles == pytest.approx([np.quantile(values, p) for p in probs], rel=1e-12)
+
+
+def test_summary_of_infinite_values_and_deviation(frame):
+    inf = float("inf")
+    long = frame("group string, variable string, value double", *(("x", "v", v) for v in (-inf, -1.0, 2.0, inf, inf)), ("y", "v", 3.0), ("y", "v", 5.5), (None, "v", 1.0))
+    got = {r.group: r for r in distributions.summary(long, ["x", "y", None], (0.25, 0.5)).collect()}
+    assert got["x"].quantiles == [-1.0, 2.0] and got["y"].quantiles == [3.625, 4.25] and got[None].quantiles == [1.0, 1.0]
+    assert got["y"].sd == pytest.approx(np.std([3.0, 5.5], ddof=1)) and got[None].sd is None
+
+
+def test_quantiles_take_two_passes_without_sketches(sample):
+    df, _ = sample
+    rows = reshape.to_long(df, "group", FACTORS)
+    plan = distributions.summary(rows, GROUPS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "raise_error" not in plan
 
 
 def test_small_groups(frame):
@@ -214,6 +241,7 @@ def test_names_with_dots_and_spaces(spark):
     assert significance.boxes(table, normalised=True).count() == 4
     assert significance.histogram(table, "Basic.Needs").count() > 5
     assert significance.ridges(table, "Basic.Needs", 8).count() == 16
+    assert significance.ridge_medians(table, "Basic.Needs").count() == 2
 
 
 def test_whiskers_reach_the_quartiles(frame):
