@@ -19,7 +19,7 @@ from ..operators.metrics import (
 from ..plans import by_name_list, hotline, program_entry
 from ..session import shared_folder
 from ..sources import sheets
-from .column_queries import END, ENTRY_END, ENTRY_START, START
+from .column_queries import END, ENTRY_END, ENTRY_START, START, raw_client_sheet
 from .ctes import CENSUS, ENTRY_YEAR, bipoc, counts, words
 from .registry import query
 
@@ -394,6 +394,12 @@ def client_counts(t):
     return by_name_list.client_counts(_members(t))
 
 
+@query("s5_r2_client_counts_from_sheet", counts("list_members", _CLIENTS))
+def client_counts_from_sheet(t):
+    members = by_name_list.list_members(sheets.client_sheet(raw_client_sheet(t)), START, END)
+    return by_name_list.client_counts(members)
+
+
 @query("r3_age_table", "SELECT bucket AS age_bucket, count(*) AS people FROM (SELECT CASE "
     + " ".join(f"WHEN age_at_year_end <= {top} THEN '{label}'" for label, top in L.AGE_BUCKETS if top is not None)
     + " WHEN age_at_year_end >= 70 THEN '70+' ELSE 'Unknown' END AS bucket FROM list_members) GROUP BY 1")

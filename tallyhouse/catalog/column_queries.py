@@ -10,7 +10,7 @@ from ..functions.dates import completed_years, day, in_window
 from ..functions.missing import down, strict_if, up, within
 from ..functions.rules import client_household, rank_of
 from ..operators import compare, reshape
-from ..operators.keyed import join_on
+from ..operators.keyed import join_on, weighted_left_join, with_copies
 from ..operators.metrics import rows_per
 from ..plans import by_name_list, equity
 from ..session import shared_folder
@@ -25,20 +25,37 @@ ENTRY_START, ENTRY_END = "20000101", "20001231"
 # --- sources and cleaning -----------------------------------------------------
 
 
-def _raw_client_sheet(t):
-    """The client list as extracts deliver it: spaced headers, one header blank."""
-    raw = {"client_id": "Client Id", "newly_homeless": "...9", "status_date": "Status Date", "birth_date": "Date of Birth"}
+def raw_client_sheet(t):
+    """The client list as extracts deliver it: spaced headers, the ninth one blank."""
+    raw = {
+        "client_id": "Client Id",
+        "birth_date": "Date of Birth",
+        "gender": "Gender",
+        "census_race": "Census Race",
+        "ethnicity": "Ethnicity",
+        "client_status": "Client Status",
+        "status_date": "Status Date",
+        "veteran": "Veteran?",
+        "newly_homeless": "_c8",
+    }
     sheet = t.clients.select(*raw).withColumn("status_date", F.col("status_date").cast("timestamp_ntz"))
     return sheet.withColumnsRenamed(raw)
 
 
 @query(
     "s1_s4_s5_s7_client_sheet",
-    "SELECT client_id, newly_homeless, status_date, birth_date FROM clients",
+    """SELECT client_id, birth_date, gender, census_race, ethnicity, client_status, status_date, veteran, newly_homeless
+      FROM clients""",
 )
 def client_sheet(t):
-    named = headers.name_position(_raw_client_sheet(t), 2, "NewlyHomeless")
-    return sheets.cleaned_sheet(named, schemas.CLIENTS, dates=["status_date", "birth_date"])
+    return sheets.client_sheet(raw_client_sheet(t))
+
+
+@query("s1_named_sheet", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_custkey NOT IN (1, 2)")
+def named_sheet(t):
+    """One sheet of the folder, by name, with a schema and without two records."""
+    sheet = sheets.read_sheet(t.spark, t.folder, "customer.parquet", t.customer.schema)
+    return sheets.cleaned_sheet(sheet, key="c_custkey", exclude=(1, 2)).select("c_custkey", "c_nationkey", "c_acctbal")
 
 
 @query("s3_table_by_file_name", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
@@ -316,14 +333,12 @@ def bipoc_flag(t):
     return rows_per(rows, *rows.columns)
 
 
-def _statuses(rows, code, source):
+def _statuses(rows, code, source, number=None):
     inputs = (code, "prior_situation", "fleeing_dv")
-    rows = rows.select(
-        *inputs,
-        recode.housing_status(*inputs, variant="v2", source=source).alias("status_v2"),
-        recode.housing_status(*inputs, variant="v3", source=source).alias("status_v3"),
-    )
-    return rows_per(rows, *rows.columns)
+    statuses = [
+        recode.housing_status(*inputs, variant=v, source=source).alias(f"status_{v}") for v in ("v2", "v3")
+    ]
+    return rows.groupBy(*inputs, *statuses).agg(F.count(F.lit(1)).alias("n") if number is None else number.alias("n"))
 
 
 @query(
@@ -331,13 +346,15 @@ def _statuses(rows, code, source):
     f"""SELECT need_code, prior_situation, fleeing_dv,
       {status('need_code', 'prior_situation', 'fleeing_dv', 'v2', 'calls')} AS status_v2,
       {status('need_code', 'prior_situation', 'fleeing_dv', 'v3', 'calls')} AS status_v3, count(*) AS n
-      FROM (SELECT DISTINCT c.client_id, c.need_date, c.need_code, s.prior_situation, s.fleeing_dv FROM calls c LEFT JOIN situations s
-        ON c.client_id IS NOT DISTINCT FROM s.client_id AND c.need_date IS NOT DISTINCT FROM s.event_date) GROUP BY 1, 2, 3""",
+      FROM calls c LEFT JOIN situations s ON c.client_id IS NOT DISTINCT FROM s.client_id AND c.need_date IS NOT DISTINCT FROM s.event_date
+      GROUP BY 1, 2, 3""",
 )
 def call_status(t):
-    calls = t.calls.select("client_id", "need_date", "need_code").distinct()
-    rows = join_on(calls, t.situations.distinct(), ["client_id", ("need_date", "event_date")])
-    return _statuses(rows, "need_code", "calls")
+    calls = t.calls.select("client_id", "need_date", "need_code")
+    # Identical rows on either side are one row with their number, so keys repeated on both do not multiply.
+    situations = with_copies(t.situations.withColumnRenamed("event_date", "need_date"), "times")
+    rows = weighted_left_join(calls, situations, ["client_id", "need_date"])
+    return _statuses(rows, "need_code", "calls", F.sum(F.col("copies") * F.coalesce("times", F.lit(1))))
 
 
 @query(

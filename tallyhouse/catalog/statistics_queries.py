@@ -224,6 +224,19 @@ def outliers(t):
     return distributions.outlier_values(_raw_long(t), GROUPS)
 
 
+@query(
+    "t9_event_outliers",
+    """SELECT e.event_type AS "group", 'value' AS variable, value, count(*) AS n FROM events e JOIN (
+        SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1) q
+        ON e.event_type = q.event_type
+      WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) GROUP BY 1, 2, 3""",
+)
+def event_outliers(t):
+    """A column with a long tail, so that there are outliers."""
+    long = reshape.to_long(t.events, "event_type", ["value"]).withColumnRenamed("event_type", "group")
+    return distributions.outlier_values(long, ("click", "error", "purchase", "signup", "view"))
+
+
 @query(
     "t10_histogram",
     """SELECT grp AS "group", CAST(ceil(basic_needs - 0.5) AS BIGINT) AS bin, count(*) AS n FROM equity

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.dates import on_day
 from ..functions.missing import as_column
 from ..operators.reshape import text_columns
-from . import headers
+from . import headers, schemas
 
 
 def read_sheet(
@@ -53,6 +53,12 @@ def cleaned_sheet(
     return without_records(df, key, exclude) if key else df
 
 
+def client_sheet(df: DataFrame) -> DataFrame:
+    """The client list of an extract, whose header at one place is blank, under canonical names."""
+    named = headers.name_position(df, *schemas.CLIENTS_BLANK_HEADER)
+    return cleaned_sheet(named, schemas.CLIENTS, dates=["status_date", "birth_date"])
+
+
 def without_records(df: DataFrame, key: str, ids: Sequence) -> DataFrame:
     """Rows whose key is known and not one of the given ids."""
     return df.filter(F.col(key).isNotNull() & ~F.col(key).isin(list(ids)))

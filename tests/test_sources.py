@@ -69,3 +69,15 @@ def test_the_file_name_chooses_the_reader(spark, tmp_path):
     path = f"{tmp_path}/csv_exports/scores.parquet"
     spark.range(3).write.parquet(path)
     assert sheets.read_table(spark, path).columns == ["id"]
+
+
+def test_client_list_with_a_blank_header(spark, tmp_path):
+    (tmp_path / "clients").mkdir()
+    (tmp_path / "clients" / "part.csv").write_text(
+        "Client Id,Date of Birth,Gender,Census Race,Ethnicity,Client Status,Status Date,Veteran?,\n"
+        "7,1990-02-03,Male,NA,NA,Active,2022-05-06 23:10:00,No,Newly Homeless\n"
+    )
+    clients = sheets.client_sheet(sheets.read_sheet(spark, str(tmp_path), "clients", format="csv"))
+    assert set(clients.columns) == set(schemas.CLIENTS.values())
+    row = clients.first()
+    assert (row.newly_homeless, row.status_date, row.veteran) == ("Newly Homeless", dt.date(2022, 5, 6), "No")
