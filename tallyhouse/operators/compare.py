@@ -66,10 +66,18 @@ def _side_by_side(per_group: DataFrame, group: str, groups: Sequence[str]) -> Da
     return per_group.groupBy("variable").agg(*sides).filter((F.col("n1") > 0) & (F.col("n2") > 0))
 
 
-def welch_tests(df: DataFrame, group: str, factors: Sequence[str], groups: Sequence[str]) -> DataFrame:
+def welch_tests(
+    df: DataFrame,
+    group: str,
+    factors: Sequence[str],
+    groups: Sequence[str],
+    *,
+    p_digits: int | None = None,
+) -> DataFrame:
     """Two-sample t-test with unequal variances, one row per factor, p not adjusted.
 
     ``groups`` are the two labels in order; the estimate is the first mean minus the second.
+    With ``p_digits`` p is rounded to so many significant digits, and the stars follow from that.
     """
     first, second = groups
     sides = _side_by_side(moments(df, group, factors), group, groups)
@@ -96,6 +104,8 @@ def welch_tests(df: DataFrame, group: str, factors: Sequence[str], groups: Seque
     tests = tests.withColumns(
         {"conf_low": F.col("estimate") - reach, "conf_high": F.col("estimate") + reach}
     )
+    if p_digits is not None:
+        tests = tests.withColumn("p", significant(F.col("p"), p_digits))
     return tests.drop("error").withColumns({"p_adjusted": F.col("p"), "p_signif": stars("p")})
 
 
@@ -103,6 +113,12 @@ def _known(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def significant(number: Column, digits: int) -> Column:
+    """Rounded to significant digits; zero and missing stay."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(number))))
+    return F.coalesce(F.round(number * scale) / scale, number)
+
+
 def stars(p: str) -> Column:
     rules = [(F.col(p) <= limit, label) for limit, label in STARS]
     return first_match([*rules, (F.col(p).isNotNull(), "ns")])

@@ -11,14 +11,16 @@ GROUPS = ("BIPOC", "White")
 SHOWN = (*GROUPS, None)
 
 
-def tests(assessments: DataFrame, *, normalised: bool = False) -> DataFrame:
+def tests(
+    assessments: DataFrame, *, normalised: bool = False, p_digits: int | None = None
+) -> DataFrame:
     """Tests over every numeric column; ``normalised`` scales them first, which voids
-    factors with missing values."""
+    factors with missing values. ``p_digits=3`` prints p as the source report does."""
     rows = compare.equity_groups(assessments)
     factors = reshape.numeric_columns(assessments)
     if normalised:
         rows = reshape.scaled(rows, factors, strict=True)
-    return compare.welch_tests(rows, "group", factors, GROUPS)
+    return compare.welch_tests(rows, "group", factors, GROUPS, p_digits=p_digits)
 
 
 def long_rows(assessments: DataFrame, *, normalised: bool = False) -> DataFrame:

@@ -109,6 +109,16 @@ def test_tukey_is_the_pooled_test(sample):
         assert tests[f].p_value == pytest.approx(simpson_p(t, n), abs=1e-9)
 
 
+def test_p_in_significant_digits(sample, frame):
+    df, _ = sample
+    whole = {r.variable: r.p for r in compare.welch_tests(df, "group", FACTORS, GROUPS).collect()}
+    for r in compare.welch_tests(df, "group", FACTORS, GROUPS, p_digits=3).collect():
+        assert r.p == (None if whole[r.variable] is None else pytest.approx(float(f"{whole[r.variable]:.2e}"), rel=1e-12))
+    numbers = frame("x double", (0.0,), (None,), (0.00123456,), (1.0,), (3.21987e-30,))
+    got = [r[0] for r in numbers.select(compare.significant(F.col("x"), 3)).collect()]
+    assert got[:2] == [0.0, None] and got[2:] == pytest.approx([0.00123, 1.0, 3.22e-30], rel=1e-12)
+
+
 def test_averages_table_order(sample):
     df, _ = sample
     rows = compare.averages_table(df, "group", ["b", "a"], GROUPS).collect()
