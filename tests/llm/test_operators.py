@@ -408,6 +408,58 @@ def test_line_dedup(spark, docs):
     assert found.where("n_removed > 0").count() > 20
 
 
+def plain_runs(rows):
+    """Lines in runs of two lines or more, blank ones aside, that an earlier text or the lines before hold, longest runs first."""
+    seen, gone = set(), {}
+    for d, text in rows:
+        own = (text or "").split("\n")
+        full = [i for i, line in enumerate(own) if line.strip()]
+        gone[d] = set()
+        ends = defaultdict(list)
+        for k, a in enumerate(full):
+            for b in reversed(full[k + 1 : k + 12]):
+                run = "\n".join(own[a : b + 1])
+                if run in seen:
+                    gone[d] |= set(range(a, b + 1))
+                    break
+            for b in full[k + 1 : k + 12]:
+                ends[b].append("\n".join(own[a : b + 1]))
+            seen.update(ends.pop(a - 1, ()))
+        for runs in ends.values():
+            seen.update(runs)
+    return gone
+
+
+def test_whole_passages_against_all_runs(frame):
+    r = random.Random(5)
+    own = lambda: f"line {r.random()}"
+    passages = [[own() if r.random() < 0.8 else "" for _ in range(r.randint(2, 7))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        parts = [own() for _ in range(r.randint(0, 2))]
+        for p in r.sample(passages, r.randint(0, 2)):
+            cut = r.choice([0, 0, 1])
+            parts += p[cut:] + [own() for _ in range(r.randint(0, 2))]
+        texts.append("\n".join(parts))
+    texts += ["x\nx\nx", "y\ny\ny\ny", "one line", "one line", "h\n\none line", "h\n\none line\n\n"]
+    # One passage at a text's start, end, middle and alone.
+    whole = "first of it\nsecond\n\nthird one\nfourth and last"
+    texts += [whole, f"a\n{whole}\nb", f"{whole}\nc", f"d\n{whole}"]
+    given = list(enumerate(texts))
+    found = dict(collected(lines.deduplicated(frame("doc_id long, text string", *given), whole=True).select("doc_id", "text")))
+    runs, seen = plain_runs(given), set()
+    for d, text in given:
+        for a, b in lines.chunks(text.split("\n")):
+            chunk = "\n".join(text.split("\n")[a:b])
+            if b - a >= 2 and chunk.strip():
+                runs[d] |= set(range(a, b)) if chunk in seen else set()
+                seen.add(chunk)
+        assert found[d] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in runs[d]), d
+    n = len(texts)
+    assert [found[i] for i in range(n - 4, n)] == [whole, "a\nb", "c", "d"]
+    assert set("\n".join(texts).split("\n")) - {""} == set("\n".join(found.values()).split("\n")) - {""}
+
+
 def test_colliding_hashes_are_compared_by_bytes(frame, monkeypatch):
     # All chunks of two lines get one hash, where the driver builds and the workers run the function.
     given = frame("doc_id long, text string", (1, "a\nb"), (2, "c\nd"), (3, "a\nb"), (4, "e\nf"))
