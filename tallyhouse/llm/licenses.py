@@ -1,7 +1,8 @@
 """License scans by diagonal voting, in DataFrame functions throughout.
 
 Hashes of all k-grams of words are joined to their positions in templates; matches are counted by diagonal (document
-position minus template position); neighbouring diagonals are merged into spans; spans are verified word by word.
+position minus template position); neighbouring diagonals are merged into spans; matches are verified word by word, and
+merged spans by the words that tell a license from its relatives.
 """
 
 from __future__ import annotations
@@ -41,6 +42,17 @@ GRAM = 4
 MAX_SHIFT = 3
 #: Share of a template's words that a span must show to give its label.
 MIN_SCORE = 0.6
+
+_NC = ("noncommercial", "non commercial", "nc")
+_SA = ("sharealike", "share alike", "sa")
+_ND = ("noderivatives", "noderivs", "no derivatives", "no derivs", "nd")
+#: Fixed values, one or two words each: a span of the template must show one of the first and none of the second.
+TELLING = {
+    "apache-2": (("version 2", "license 2", "v2"), ()),
+    "gpl": ((), ("lesser general", "library general", "affero general")),
+    "cc-by-nc": (_NC, _SA + _ND),
+    "cc-by": ((), _NC + _SA + _ND),
+}
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -126,16 +138,18 @@ def spans(
     min_score: float = MIN_SCORE,
     id_column: str = "doc_id",
     text_column: str = "text",
+    telling: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = TELLING,
 ) -> DataFrame:
     """``doc_id, text_key, template, first, last, score``: the best verified span of each template in each text.
 
     The hashes of all grams of all texts meet those of the template grams; templates are a parameter, so their rows are
     broadcast, and only matches are shuffled. Matches are verified by their words. Votes of a diagonal are its distinct
     template positions; diagonals at most ``max_shift`` apart are one span. Its score is the share of the template's words
-    that lie in a verified gram.
+    that lie in a verified gram. Spans without a word that ``telling`` wants, or with one that it bars, are another license.
     """
     given = projected(documents, doc_id=id_column, text=text_column)
-    words = given.select("doc_id", _key(F.col("text")).alias("text_key"), _words(_normal(F.col("text"))).alias("words"))
+    normal = given.select("doc_id", _key(F.col("text")).alias("text_key"), _normal(F.col("text")).alias("normal"))
+    words = normal.select("doc_id", "text_key", _words(F.col("normal")).alias("words"))
     grams = words.select("doc_id", "text_key", F.posexplode(_grams(F.col("words"), gram)).alias("place", "gram"))
     table = template_grams(documents.sparkSession, templates, gram)
     hit = grams.join(F.broadcast(table), (F.xxhash64("gram") == F.col("gram_hash")) & (F.col("gram") == F.col("template_gram")))
@@ -144,15 +158,62 @@ def spans(
     key = ["doc_id", "text_key", "template"]
     diagonals = votes.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*key, "diagonal").agg(
         F.collect_set("at").alias("ats"),  # at most the template's length
+        F.min("at").alias("before"),
+        F.min(F.col("size") - gram - F.col("at")).alias("after"),
         F.min("place").alias("first"),
         F.max("place").alias("last"),
         F.max("size").alias("size"),
     )
-    return _merged(diagonals, key, gram, max_shift).where(F.col("score") >= min_score)
+    found = _merged(diagonals, key, gram, max_shift).where(F.col("score") >= min_score)
+    ruled = {t: rule for t, rule in telling.items() if t in templates}
+    if ruled:
+        found = _told(found, _marks(normal, sorted({p for rule in ruled.values() for p in rule[0] + rule[1]})), ruled)
+    best = found.groupBy(*key).agg(F.max(F.struct("score", (-F.col("first")).alias("minus_first"), "last")).alias("best"))
+    return best.select(*key, (-F.col("best.minus_first")).alias("first"), F.col("best.last").alias("last"), F.col("best.score").alias("score"))
+
+
+def _marks(normal: DataFrame, phrases: list[str]) -> DataFrame:
+    """``mark_id, mark_key, phrase, mark``: all places of phrases of one or two words; texts without any are not cut into words."""
+    # One reference: a filter that moves below the normal form computes it anew for each.
+    some = F.col("normal").rlike(f" ({'|'.join(phrases)}) ")
+    words = normal.where(some).select("doc_id", "text_key", _words(F.col("normal")).alias("words"))
+
+    def here(word: Column, after: Column) -> Column:
+        two = F.concat_ws(" ", word, after)
+        return F.array_compact(F.array(F.when(word.isin(phrases), word), F.when(two.isin(phrases) & (two != word), two)))
+
+    def placed(own: Column, i: Column) -> Column:
+        return F.transform(own, lambda p: F.struct(p.alias("phrase"), i.cast("bigint").alias("mark")))
+
+    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), here)
+    marks = words.select("doc_id", "text_key", F.inline(F.flatten(F.transform(pairs, placed))))
+    return marks.withColumnsRenamed({"doc_id": "mark_id", "text_key": "mark_key"}).distinct()
+
+
+def _told(found: DataFrame, marks: DataFrame, ruled: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
+    """Spans that show a wanted phrase, if any is, and no barred one, from where the template would start to where it would end."""
+
+    def named(which: int) -> Column:
+        hit = F.lit(False)
+        for template, rule in ruled.items():
+            if rule[which]:
+                hit = hit | ((F.col("template") == template) & F.col("phrase").isin(*rule[which]))
+        return hit
+
+    stop = F.col("mark") + F.size(F.split("phrase", " ")) - 1
+    inside = (F.col("mark") >= F.col("first") - F.col("before")) & (stop <= F.col("last") + F.col("after"))
+    same = F.col("doc_id").eqNullSafe(F.col("mark_id")) & (F.col("text_key") == F.col("mark_key"))
+    judged = (
+        found.join(marks, same & inside & (named(0) | named(1)), "left")
+        .groupBy(*found.columns)
+        .agg(F.max(named(0)).alias("wanted"), F.max(named(1)).alias("barred"))
+    )
+    needs = F.col("template").isin([t for t, rule in ruled.items() if rule[0]])
+    return judged.where((~needs | F.coalesce("wanted", F.lit(False))) & ~F.coalesce("barred", F.lit(False))).drop("wanted", "barred")
 
 
 def _merged(diagonals: DataFrame, key: list[str], gram: int, max_shift: int) -> DataFrame:
-    """Neighbouring diagonals as one span; of each template the span with the highest score, then the first one."""
+    """Neighbouring diagonals as one span, with the number of template words ``before`` and ``after`` it."""
     order = Window.partitionBy(*key).orderBy("diagonal")
     split = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > max_shift).cast("int"), F.lit(0))
     numbered = diagonals.withColumn("starts", split).withColumn("span", F.sum("starts").over(order))
@@ -163,11 +224,11 @@ def _merged(diagonals: DataFrame, key: list[str], gram: int, max_shift: int) ->
         F.min("first").alias("first"),
         (F.max("last") + gram - 1).alias("last"),
         F.max("size").alias("size"),
+        F.min("before").alias("before"),
+        F.min("after").alias("after"),
     )
-    best = whole.withColumn("score", F.round(F.col("n") / F.col("size"), 6)).groupBy(*key).agg(
-        F.max(F.struct("score", (-F.col("first")).alias("minus_first"), "last")).alias("best")
-    )
-    return best.select(*key, (-F.col("best.minus_first")).alias("first"), F.col("best.last").alias("last"), F.col("best.score").alias("score"))
+    score = F.round(F.col("n") / F.col("size"), 6).alias("score")
+    return whole.select(*key, "first", "last", score, "before", "after")
 
 
 def scanned(

@@ -372,6 +372,31 @@ def test_license_texts_by_diagonals(frame):
     assert by_id[3][1] == "" and by_id[4][1] == ""
 
 
+def test_relatives_of_a_license_are_told_apart(frame):
+    notice = "This work is licensed under a Creative Commons {} International License."
+    gpl, apache = licenses.TEMPLATES["gpl"], licenses.TEMPLATES["apache-2"]
+    cases = {
+        notice.format("Attribution 4.0"): "cc-by",
+        notice.format("Attribution-NonCommercial 4.0"): "cc-by-nc",
+        notice.format("Attribution-Non-Commercial 4.0"): "cc-by-nc",
+        notice.format("Attribution-ShareAlike 4.0"): "",
+        notice.format("Attribution-NonCommercial-ShareAlike 4.0"): "",
+        notice.format("Attribution-NoDerivatives 4.0"): "",
+        notice.format("Attribution 3.0").replace("International", "Unported"): "cc-by",
+        notice.format("Attribution-ShareAlike 3.0").replace("International", "Unported"): "",
+        notice.format("Attribution 4.0") + " No commercial or noncommercial warranty.": "cc-by",
+        notice.format("Attribution-ShareAlike 4.0") + " " + "word " * 30 + notice.format("Attribution 4.0"): "cc-by",
+        notice.format("Attribution 4.0") + " " + "word " * 30 + notice.format("Attribution-NonCommercial 4.0"): "cc-by,cc-by-nc",
+        gpl: "gpl",
+        gpl.replace("gnu general", "gnu lesser general"): "",
+        apache: "apache-2",
+        apache.replace("version 2 0", "version 1 1").replace("license 2 0", "license 1 1"): "",
+    }
+    given = frame("doc_id long, text string", *enumerate(cases), (None, notice.format("Attribution 4.0")))
+    found = dict(collected(licenses.scanned(given, phrases={"no such phrase": "x"}).select("doc_id", "labels")))
+    assert found == {**dict(enumerate(cases.values())), None: "cc-by"}
+
+
 # 8
 
 
