@@ -140,7 +140,7 @@ def spans(
     text_column: str = "text",
     telling: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = TELLING,
 ) -> DataFrame:
-    """``doc_id, text_key, template, first, last, score``: the best verified span of each template in each text.
+    """``doc_id, text_key, template, first, last, score``: all verified spans of each template in each text.
 
     The hashes of all grams of all texts meet those of the template grams; templates are a parameter, so their rows are
     broadcast, and only matches are shuffled. Matches are verified by their words. Votes of a diagonal are its distinct
@@ -168,8 +168,7 @@ def spans(
     ruled = {t: rule for t, rule in telling.items() if t in templates}
     if ruled:
         found = _told(found, _marks(normal, sorted({p for rule in ruled.values() for p in rule[0] + rule[1]})), ruled)
-    best = found.groupBy(*key).agg(F.max(F.struct("score", (-F.col("first")).alias("minus_first"), "last")).alias("best"))
-    return best.select(*key, (-F.col("best.minus_first")).alias("first"), F.col("best.last").alias("last"), F.col("best.score").alias("score"))
+    return found.select(*key, "first", "last", "score")
 
 
 def _marks(normal: DataFrame, phrases: list[str]) -> DataFrame:
@@ -241,7 +240,7 @@ def scanned(
 ) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row.
 
-    Labels of phrases stay; templates whose best span reaches the score add theirs. ``score`` is 1 with a phrase, else
+    Labels of phrases stay; templates with a span that reaches the score add theirs. ``score`` is 1 with a phrase, else
     the best span's, else 0. Null and empty texts have no words. Repeated rows are all returned. A null id is kept. Other
     columns are ignored; an empty table gives no rows.
     """

@@ -397,6 +397,15 @@ def test_relatives_of_a_license_are_told_apart(frame):
     assert found == {**dict(enumerate(cases.values())), None: "cc-by"}
 
 
+def test_every_span_of_a_license_is_returned(frame):
+    size = len(licenses.TEMPLATES["bsd"].split())
+    text = "x " + " notice of another ".join([licenses.TEMPLATES["bsd"]] * 5)
+    given = frame("doc_id long, text string", (1, text), (None, text), (None, text))
+    found = collected(licenses.spans(given).select("doc_id", "template", "first", "last", "score"))
+    at = [1 + i * (size + 3) for i in range(5)]
+    same(found, [(d, "bsd", a, a + size - 1, 1.0) for d in (1, None) for a in at])
+
+
 # 8
 
 
