@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 # Elements of the HTML standard by how they lay out text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style noscript template title svg math iframe object audio video canvas datalist".split())
+#: What a head may hold; anything else that opens in it starts the body.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
@@ -81,6 +83,7 @@ class PageTree(HTMLParser):
         self.linked = [0]
         self.open: list[tuple[str, int]] = [("#page", 0)]  # name, block node it belongs to
         self.hidden = 0
+        self.head = False  # in a head, and in no other hidden element
         self.run = -1
         self.links = 0  # open links
 
@@ -89,17 +92,19 @@ class PageTree(HTMLParser):
         return j
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.head and self.hidden == 1 and tag not in IN_HEAD:  # an unended head
+            self.hidden, self.head = 0, False
         if self.hidden:
             if tag in HIDDEN and tag not in VOID:
                 self.hidden += 1
             elif tag == "body":  # an unended head
-                self.hidden = 0
+                self.hidden, self.head = 0, False
             else:
                 return
             if self.hidden:
                 return
         elif tag in HIDDEN:
-            self.hidden = 1
+            self.hidden, self.head = 1, tag == "head"
             return
         if tag == "br":
             self._add(" ", False)
@@ -124,7 +129,10 @@ class PageTree(HTMLParser):
             self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag not in HIDDEN:
+            self.handle_starttag(tag, attrs)
+        elif self.head and self.hidden == 1 and tag not in IN_HEAD:
+            self.hidden, self.head = 0, False
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:
@@ -151,6 +159,8 @@ class PageTree(HTMLParser):
             del self.open[cut:]
 
     def handle_data(self, data: str) -> None:
+        if self.head and self.hidden == 1 and data.strip():
+            self.hidden, self.head = 0, False
         if not self.hidden:
             self._add(data, self.links > 0)
 

@@ -177,6 +177,20 @@ def test_pages(spark):
     assert found[-5].text == "One & two A three bold. More of it here, and a sentence.\nNext one. " + ("It is long. " * 9000).strip()
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>x</title><p>Article <b>one</b>.<p>Two.", ["Article one.", "Two."]),
+        ("<head><meta charset=x><script>var a = '<p>'</script><style>p {}</style>Plain text<p>Two.", ["Plain text", "Two."]),
+        ("<head><noscript><img src=x></noscript><title>t</title></head><body><p>One<svg><title>no</title></svg> two.", ["One two."]),
+        ("<head><script src=x /><title>t</title></head><body><p>One.<p>Two.", ["One.", "Two."]),
+        ("<p>One.<svg viewBox=x /><p>Two.<iframe src=x /><canvas/><p>Three.", ["One.", "Two.", "Three."]),
+    ],
+)
+def test_nothing_but_hidden_elements_is_hidden(page, texts):
+    assert [t for t in html_extraction.parsed(page).blocks() if t] == texts
+
+
 # 4
 
 
