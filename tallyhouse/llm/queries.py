@@ -16,7 +16,9 @@ from . import (
     lines,
     packing,
     quality,
+    repair,
     simhash,
+    spelling,
     training_order,
 )
 from .common import table
@@ -95,6 +97,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, form and root."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after planted damage; all conversations, also those left empty."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.summary(repair.edits(repair.damaged(conversations)))
+    known = conversations.select(F.col("conv_id").alias("id")).distinct()
+    joined = known.join(found, known.id.eqNullSafe(found.conv_id), "left")
+    empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return joined.select(
+        F.col("id").alias("conv_id"),
+        *(F.coalesce(c, empty.get(c, F.lit(0))).alias(c) for c in found.columns if c != "conv_id"),
+    )
+
+
 #: By query: the function, and DuckDB SQL or None.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -109,5 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_training_order,
         op10_best_fit_packing,
+        op12_spelling_variants,
+        op13_conversation_repair,
     )
 }
