@@ -191,6 +191,9 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
 
         def answers() -> Iterator[tuple]:
             nonlocal index
+            if not members:
+                asking.clear()
+                return
             if index is None:
                 index = PositionIndex([w for w, _ in members])
             place_of = np.array(places)
