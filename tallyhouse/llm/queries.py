@@ -17,6 +17,7 @@ from . import (
     packing,
     quality,
     repair,
+    secret_scans,
     simhash,
     spelling,
     training_order,
@@ -97,6 +98,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base spans and those that the network adds."""
+    return secret_scans.digest(secret_scans.findings(table(spark, sf_dir, "documents")))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their near words, form and root."""
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
@@ -129,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_training_order,
         op10_best_fit_packing,
+        op11_secret_scans,
         op12_spelling_variants,
         op13_conversation_repair,
     )
