@@ -25,6 +25,7 @@ def household_members(clients: DataFrame, memberships: DataFrame) -> DataFrame:
     return attach(
         members,
         ["household_id"],
+        shared=True,
         household_size=F.sum("copies"),
         max_household_age=largest("age_at_year_end"),
         min_household_age=smallest("age_at_year_end"),

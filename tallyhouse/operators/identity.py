@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -10,8 +10,9 @@ from ..functions import recode
 from ..functions.dates import completed_years
 from ..functions.missing import any_flag, down, largest, smallest, up
 from ..functions.rules import client_household, first_match
-from .keyed import attach, first_per_key, join_on, merge_unmatched
+from .keyed import attach, first_and_measures, first_per_key, join_on, merge_unmatched
 
+FLAGS = ("veteran", "bipoc", "asked_shelter")
 STATUSES = (L.LITERALLY, L.NOT_LITERALLY, L.UNKNOWN)
 
 
@@ -73,12 +74,12 @@ def classified_callpoint(callpoint: DataFrame, variant: str = "v3") -> DataFrame
 
 
 def unified_calls(calls: DataFrame, callpoint: DataFrame) -> DataFrame:
-    """Both call sources as one set; a call known to both is kept once."""
-    return merge_unmatched(calls, callpoint, callpoint.columns)
+    """Both call sources as one set; a call known to both is kept once. ``calls`` are distinct."""
+    return merge_unmatched(calls, callpoint, callpoint.columns, distinct=True)
 
 
-def resolved_people(calls: DataFrame) -> DataFrame:
-    """One row per (name, recorded birth date): filled birth date, client id and flags.
+def named_people(calls: DataFrame) -> DataFrame:
+    """One row per (name, recorded birth date): filled birth date, client id and own flags.
 
     A missing birth date takes the latest one known under the same name; the client
     id is the smallest positive id of the name and birth date, else the largest id.
@@ -95,7 +96,7 @@ def resolved_people(calls: DataFrame) -> DataFrame:
     )
     name = Window.partitionBy("name_string")
     person = Window.partitionBy("name_string", "born")
-    resolved = (
+    return (
         pairs.withColumn("born", F.coalesce("birth_date", F.max("birth_date").over(name)))
         .withColumn(
             "client_id",
@@ -103,33 +104,30 @@ def resolved_people(calls: DataFrame) -> DataFrame:
         )
         .drop("known_id", "last_id")
     )
-    known = attach(
-        resolved,
-        ["client_id"],
-        client_veteran=largest("veteran", "propagate"),
-        client_bipoc=F.max("bipoc"),
-        client_shelter=F.max("asked_shelter"),
-    )
-    # The client's flag is never weaker than the pair's own. Reading both keeps the two
-    # uses of the aggregate alike, so Spark runs it once and reuses its shuffle.
-    veteran = F.when(F.col("veteran").isNotNull(), F.col("client_veteran"))
-    return known.select(
-        "name_string",
-        "birth_date",
-        "born",
-        "client_id",
-        recode.yes_no(veteran).alias("veteran"),
-        F.greatest("client_bipoc", "bipoc").alias("bipoc"),
-        F.greatest("client_shelter", "asked_shelter").alias("asked_shelter"),
-    )
 
 
-def resolved_calls(calls: DataFrame) -> DataFrame:
-    """Calls under their resolved client and household, with client flags and age at call."""
+def client_flags() -> dict[str, Column]:
+    """Flags of a client from those of its (name, birth date) pairs, as aggregates over any rows that hold them all."""
+    return {
+        "veteran": recode.yes_no(largest("veteran", "propagate")),
+        "bipoc": F.max("bipoc"),
+        "asked_shelter": F.max("asked_shelter"),
+    }
+
+
+def resolved_people(calls: DataFrame) -> DataFrame:
+    """:func:`named_people` with the flags of the whole client in place of the pair's own."""
+    people = named_people(calls)
+    flags = client_flags()
+    known = attach(people, ["client_id"], shared=True, **{f"client_{c}": f for c, f in flags.items()})
+    return known.drop(*flags).withColumnsRenamed({f"client_{c}": c for c in flags})
+
+
+def _called(calls: DataFrame, people: DataFrame) -> DataFrame:
+    """Calls under the client and household of their caller, with the caller's flags and age at call."""
     facts = calls.select(
         "household_id", "call_date", "name_string", "birth_date", "housed_status"
     )
-    people = resolved_people(calls)
     joined = join_on(facts, people, ["name_string", "birth_date"], "inner")
     return joined.select(
         F.coalesce("household_id", client_household("client_id")).alias("household_id"),
@@ -145,6 +143,11 @@ def resolved_calls(calls: DataFrame) -> DataFrame:
     )
 
 
+def resolved_calls(calls: DataFrame) -> DataFrame:
+    """Calls under their resolved client and household, with client flags and age at call."""
+    return _called(calls, resolved_people(calls))
+
+
 def household_day_status(calls: DataFrame) -> DataFrame:
     """Adds the strongest status any call of the household had on the same day."""
     ranked = attach(
@@ -156,29 +159,43 @@ def household_day_status(calls: DataFrame) -> DataFrame:
 
 
 def summary_base(calls: DataFrame, variant: str = "v3") -> DataFrame:
-    """One row per client: the call state in its largest household.
+    """One row per client of :func:`resolved_calls`: the call state in its largest household.
 
     Size counts distinct states per household and status, the ages cover the whole
     household. Ties go to the status (v3 only), then the household, then the rest.
     """
-    state = ["household_id", "client_id", "housed_status", "bipoc", "asked_shelter", "veteran", "age"]
+    flags = [F.max(c).alias(c) for c in FLAGS]
+    return _base(calls, variant, flags, {c: F.max(c) for c in FLAGS})
+
+
+def summary_base_of_calls(calls: DataFrame, variant: str = "v3") -> DataFrame:
+    """``summary_base(resolved_calls(calls))`` without a pass of its own for the flags of clients.
+
+    A client's flags tell no states apart and decide no ties, so calls carry those of the caller's
+    name and birth date, and the client's are aggregated along with the choice of its state.
+    """
+    flags = [largest("veteran", "propagate").alias("veteran"), *[F.max(c).alias(c) for c in FLAGS[1:]]]
+    return _base(_called(calls, named_people(calls)), variant, flags, client_flags())
+
+
+def _base(calls: DataFrame, variant: str, flags: list[Column], of_client: dict[str, Column]) -> DataFrame:
+    state = ["household_id", "client_id", "housed_status", "age"]
     if variant == "v2":
         calls = household_day_status(calls)
         state.append("day_status")
-    states = calls.select(*state).distinct()
+    states = calls.groupBy(*state).agg(*flags)
     status = F.col("housed_status")
     sizes = {f"__{i}": F.count_if(status == label) for i, label in enumerate(STATUSES)}
     sized = attach(
-        states, ["household_id"], max_age=largest("age"), min_age=smallest("age"), **sizes
+        states, ["household_id"], shared=True, max_age=largest("age"), min_age=smallest("age"), **sizes
     )
     size = first_match([(status == label, F.col(f"__{i}")) for i, label in enumerate(STATUSES)])
     sized = sized.withColumn("household_size", size).drop(*sizes)
-    tie = [c for c in state if c not in ("client_id", "household_id", "housed_status")]
     leading = ["household_id", "housed_status"]
     if variant == "v3":
         leading.reverse()
-    tie = leading + tie
-    base = first_per_key(sized, ["client_id"], [down("household_size"), *map(up, tie)])
+    order = [-F.col("household_size"), *map(F.col, [*leading, *state[3:]])]
+    base = first_and_measures(sized, ["client_id"], order, **of_client)
     shelter = F.when(F.col("asked_shelter") == 1, "Yes").otherwise("No")
     return base.withColumn("asked_shelter", shelter)
 

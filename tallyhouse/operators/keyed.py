@@ -35,8 +35,16 @@ def join_on(left: DataFrame, right: DataFrame, on: On, how: str = "left") -> Dat
     return joined.drop(*[f"__{r}" for _, r in pairs])
 
 
-def attach(rows: DataFrame, keys: Sequence[str], **measures: Column) -> DataFrame:
-    """Add aggregates over each key as columns of every row."""
+def attach(rows: DataFrame, keys: Sequence[str], *, shared: bool = False, **measures: Column) -> DataFrame:
+    """Add aggregates over each key as columns of every row.
+
+    ``shared`` is for rows that come out of a shuffle or join: both the aggregate and the rows then read all
+    their columns, so that Spark sees one plan twice and runs what lies before them once. Leave it off for
+    rows of a file, where the aggregate reads few columns.
+    """
+    if shared:
+        # Always true, which Spark cannot know; it keeps every column in use.
+        rows = rows.filter(F.xxhash64(*rows.columns) % 2 < 2)
     return join_on(rows, rows.groupBy(*keys).agg(*_named(measures)), keys)
 
 
@@ -54,6 +62,20 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[ColumnLi
     return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
+def first_and_measures(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], **measures: Column
+) -> DataFrame:
+    """First row of each key, and aggregates over all its rows, in one aggregation.
+
+    ``order`` lists ascending columns, missing values last; rows equal under it must be equal in all columns.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    places = [part for c in order for part in (c.isNull(), c)]
+    least = F.min_by(F.struct(*rest), F.struct(*[p.alias(f"p{i}") for i, p in enumerate(places)]))
+    found = rows.groupBy(*keys).agg(least.alias("__first"), *_named(measures))
+    return found.select(*keys, *[F.col("__first")[c].alias(c) for c in rest if c not in measures], *measures)
+
+
 def with_copies(rows: DataFrame, name: str) -> DataFrame:
     """Identical rows folded into one, with their number."""
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(name))
@@ -72,9 +94,11 @@ def weighted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) ->
     return matched.unionByName(alone, allowMissingColumns=True)
 
 
-def merge_unmatched(left: DataFrame, right: DataFrame, on: On) -> DataFrame:
+def merge_unmatched(left: DataFrame, right: DataFrame, on: On, *, distinct: bool = False) -> DataFrame:
     """Full outer join against a table of key columns only, duplicates removed.
 
+    ``distinct`` says that the left rows are distinct already.
+
     Equals the full join as a set: all left rows, and the right rows with no match.
     One ``groupBy`` over both sides' keys finds the latter; it pre-aggregates, and
     takes a missing key for a value, which an equi-join would need extra work for.
@@ -85,7 +109,8 @@ def merge_unmatched(left: DataFrame, right: DataFrame, on: On) -> DataFrame:
     there = right.select(*[F.col(r).alias(l) for l, r in pairs], F.lit(False).alias("__left"))
     known = here.unionByName(there).groupBy(*names).agg(F.bool_or("__left").alias("__left"))
     extra = known.filter(~F.col("__left")).drop("__left")
-    return left.distinct().unionByName(extra, allowMissingColumns=True)
+    rows = left if distinct else left.distinct()
+    return rows.unionByName(extra, allowMissingColumns=True)
 
 
 def distinct_union(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -9,9 +9,8 @@ from ..functions import labels as L
 from ..operators.identity import (
     classified_callpoint,
     classified_calls,
-    resolved_calls,
     single_sheet_base,
-    summary_base,
+    summary_base_of_calls,
     unified_calls,
 )
 from ..operators.metrics import Metric, distinct_counts, rows_per
@@ -76,8 +75,7 @@ def report(
     variant: str = "v3",
 ) -> DataFrame:
     merged = all_calls(calls, situations, demographics, callpoint, variant)
-    base = summary_base(resolved_calls(merged), variant)
-    return hotline_counts(base).select(F.lit(NAME).alias("report"), "*")
+    return hotline_counts(summary_base_of_calls(merged, variant)).select(F.lit(NAME).alias("report"), "*")
 
 
 def single_sheet_report(calls: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import labels as L
 from ..functions import recode
 from ..functions.dates import day, in_window
 from ..functions.missing import down, holds, largest, smallest, up
-from ..operators.keyed import first_per_key, join_on
+from ..operators.keyed import attach, first_per_key, join_on
 from ..operators.metrics import Metric, distinct_counts, distinct_pairs_per
 
 NAME = "program_entry"
@@ -22,16 +22,20 @@ def scored_demographics(demographics: DataFrame) -> DataFrame:
     return first_per_key(demographics, ["client_id"], [down("score"), up("tie_key")])
 
 
-def group_ages(entries: DataFrame) -> DataFrame:
+def _ages() -> dict[str, Column]:
     """Highest and lowest age per entry group, missing when any member's age is."""
-    return entries.groupBy("group_uid").agg(
-        largest("age_at_entry", "propagate").alias("max_entry_age"),
-        smallest("age_at_entry", "propagate").alias("min_entry_age"),
-    )
+    return {
+        "max_entry_age": largest("age_at_entry", "propagate"),
+        "min_entry_age": smallest("age_at_entry", "propagate"),
+    }
+
+
+def group_ages(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("group_uid").agg(*[c.alias(name) for name, c in _ages().items()])
 
 
 def with_group_ages(entries: DataFrame) -> DataFrame:
-    return join_on(entries, group_ages(entries), ["group_uid"])
+    return attach(entries, ["group_uid"], shared=True, **_ages())
 
 
 def _conditions(start: str, end: str) -> dict[str, Column]:

@@ -138,3 +138,31 @@ def test_hot_unknown_callers(spark, small_shuffle_splits):
     assert "skew=true" in final_plan(out)
     unknown = out.filter("name_string IS NULL")
     assert unknown.count() == 20_000 and unknown.select("client_id").distinct().count() == 1
+
+
+def test_rows_with_attached_columns_are_computed_once(spark):
+    """Shuffles and scans at run time, beside reused ones."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+
+    def work(df) -> tuple[int, int]:
+        plan = final_plan(df)
+        return len(re.findall(r"(?<!Reused)Exchange hashpartitioning", plan)), plan.count("FileScan")
+
+    members = by_name_list.list_members(t.clients, "20220101", "20221231")
+    rolled = households.household_members(members, by_name_list.cleaned_memberships(t.memberships))
+    moved, read = work(households.largest_household(rolled))
+    assert moved <= 9 and read <= 3
+    moved, read = work(hotline.report(t.calls, t.situations, t.caller_demographics, t.callpoint))
+    assert moved <= 15 and read <= 4
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold=-1, spark__sql__adaptive__autoBroadcastJoinThreshold=-1):
+        moved, _ = work(hotline.report(t.calls, t.situations, t.caller_demographics, t.callpoint))
+        assert moved <= 23
+
+
+def test_summary_of_calls_is_that_of_resolved_calls(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for variant in ("v2", "v3"):
+        calls = hotline.all_calls(t.calls, t.situations, t.caller_demographics, t.callpoint, variant)
+        one = identity.summary_base_of_calls(calls, variant)
+        two = identity.summary_base(identity.resolved_calls(calls), variant).select(one.columns)
+        assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
