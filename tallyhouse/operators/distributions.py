@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_column
-from .keyed import join_on
+from .keyed import alike, join_on
 from .reshape import scaled_long
 
 KEY = ["group", "variable"]
@@ -149,18 +149,19 @@ def _named_quartiles(q: str) -> list[Column]:
 
 
 def quartile_table(long: DataFrame, groups: Sequence[str | None], *, approximate: bool = False) -> DataFrame:
-    """Median and quartiles per (group, variable): q1, median, q3."""
+    """Median, quartiles and range per (group, variable): q1, median, q3, low, high."""
     if approximate:
         sketch = F.percentile_approx("value", list(QUARTILES), 10_000)
-        rows = _of_groups(long, groups).groupBy(*KEY).agg(sketch.alias("quantiles"))
+        ends = [F.min("value").alias("low"), F.max("value").alias("high")]
+        rows = _of_groups(long, groups).groupBy(*KEY).agg(sketch.alias("quantiles"), *ends)
     else:
         rows = summary(long, groups)
-    return rows.select(*KEY, *_named_quartiles("quantiles"))
+    return rows.select(*KEY, *_named_quartiles("quantiles"), "low", "high")
 
 
 def _fenced(long: DataFrame, groups: Sequence[str | None]) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    quartiles = quartile_table(long, groups).withColumns(
+    quartiles = quartile_table(long, groups).drop("low", "high").withColumns(
         {"low_fence": F.col("q1") - reach, "high_fence": F.col("q3") + reach}
     )
     return join_on(_of_groups(long, groups), F.broadcast(quartiles), KEY, "inner")
@@ -230,16 +231,17 @@ def density(
     points: int = 512,
     cut: float = 0.0,
     shared: bool = False,
+    with_range: bool = False,
 ) -> DataFrame:
     """Gaussian kernel density on an even grid: rows (group, variable, step, x, density).
 
     The grid covers the range of the values (``cut=0``, as trimmed violins do) or
     reaches ``cut`` bandwidths beyond (3 for ridges); ``shared`` uses one range and the
-    mean bandwidth for all groups of a variable. Values are first split between
+    mean bandwidth for all groups of a variable; ``with_range`` adds the range, low and high. Values are first split between
     the two nearest of ``points`` nodes, so the kernel sum costs the same for any
     number of rows and each list of nodes has at most ``points`` entries.
     """
-    widths = bandwidths(long, groups)
+    widths = alike(bandwidths(long, groups))
     if shared:
         widths = _shared(widths)
     place = F.coalesce(
@@ -261,7 +263,7 @@ def density(
     start = F.col("low") - cut * F.col("bandwidth")
     stride = (F.col("high") - F.col("low") + 2 * cut * F.col("bandwidth")) / (points - 1)
     grid = join_on(nodes, F.broadcast(widths), KEY, "inner").select(
-        *KEY, "n", "low", "bandwidth", "nodes", gap.alias("gap"), start.alias("start"), stride.alias("stride"),
+        *KEY, "n", "low", "high", "bandwidth", "nodes", gap.alias("gap"), start.alias("start"), stride.alias("stride"),
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("step"),
     ).withColumn("x", F.col("start") + F.col("step") * F.col("stride"))
 
@@ -277,4 +279,5 @@ def density(
         + c["right"] * kernel(c["node"] + 1),
     )
     scale = F.col("n") * F.col("bandwidth") * F.sqrt(2 * F.pi())
-    return grid.select(*KEY, "step", "x", (total / scale).alias("density"))
+    range_of_key = ["low", "high"] if with_range else []
+    return grid.select(*KEY, "step", "x", (total / scale).alias("density"), *range_of_key)

@@ -43,11 +43,16 @@ def attach(rows: DataFrame, keys: Sequence[str], *, shared: bool = False, **meas
     rows of a file, where the aggregate reads few columns.
     """
     if shared:
-        # Always true, which Spark cannot know; it keeps every column in use.
-        rows = rows.filter(F.xxhash64(*rows.columns) % 2 < 2)
+        rows = alike(rows)
     return join_on(rows, rows.groupBy(*keys).agg(*_named(measures)), keys)
 
 
+def alike(rows: DataFrame) -> DataFrame:
+    """The rows, read with all their columns by every use, so that uses share the shuffles before them."""
+    # Always true, which Spark cannot know.
+    return rows.filter(F.xxhash64(*rows.columns) % 2 < 2)
+
+
 def _named(measures: dict[str, Column]) -> list[Column]:
     return [measure.alias(name) for name, measure in measures.items()]
 

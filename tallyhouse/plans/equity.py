@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import recode
@@ -42,17 +42,19 @@ class Comparison:
 
     def densities(self, points: int = 512) -> DataFrame:
         """Densities of the scaled factors, from those of the raw values."""
-        rows = distributions.density(self._long(), self.groups, points=points)
+        rows = distributions.density(self._long(), self.groups, points=points, with_range=True)
         scaled = self._scaled(rows, ["x"]).withColumn("density", F.col("density") * F.col("span"))
-        return scaled.drop("least", "span")
+        return scaled.drop("least", "span", "low", "high")
 
     def _long(self) -> DataFrame:
         return reshape.to_long(self.rows, "group", self.factors)
 
     def _scaled(self, table: DataFrame, columns: Sequence[str]) -> DataFrame:
-        bounds = reshape.factor_bounds(self.rows, self.factors).drop("complete")
-        shares = {c: (F.col(c) - F.col("least")) / F.col("span") for c in columns}
-        return table.join(F.broadcast(bounds), "variable").withColumns(shares)
+        """Values on the scale of their factor. The groups cover all rows, so their ranges give the factor's."""
+        factor = Window.partitionBy("variable")
+        least = F.min("low").over(factor)
+        ranged = table.withColumns({"least": least, "span": F.max("high").over(factor) - least}).filter("span > 0")
+        return ranged.withColumns({c: (F.col(c) - F.col("least")) / F.col("span") for c in columns})
 
 
 def choices(table: DataFrame, split: str) -> DataFrame:
