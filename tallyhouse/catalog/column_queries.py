@@ -51,11 +51,11 @@ def client_sheet(t):
     return sheets.client_sheet(raw_client_sheet(t))
 
 
-@query("s1_named_sheet", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_custkey NOT IN (1, 2)")
+@query("s1_named_sheet", "SELECT * FROM customer WHERE c_custkey NOT IN (1, 2)")
 def named_sheet(t):
     """One sheet of the folder, by name, with a schema and without two records."""
     sheet = sheets.read_sheet(t.spark, t.folder, "customer.parquet", t.customer.schema)
-    return sheets.cleaned_sheet(sheet, key="c_custkey", exclude=(1, 2)).select("c_custkey", "c_nationkey", "c_acctbal")
+    return sheets.cleaned_sheet(sheet, key="c_custkey", exclude=(1, 2))
 
 
 @query("s3_table_by_file_name", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
@@ -65,13 +65,13 @@ def table_by_file_name(t):
 
 @query(
     "s2_csv_with_inferred_types",
-    "SELECT p_partkey, CAST(p_size AS INTEGER) AS p_size, p_brand, p_retailprice FROM part",
+    "SELECT * REPLACE (CAST(p_size AS INTEGER) AS p_size) FROM part",
 )
 def csv_with_inferred_types(t):
     path = f"{shared_folder(t.spark)}/part.csv"
     t.part.write.option("header", True).csv(path)
     table = sheets.read_table(t.spark, path)
-    return table.select(F.col("p_partkey").cast("long"), "p_size", "p_brand", "p_retailprice")
+    return table.withColumn("p_partkey", F.col("p_partkey").cast("long"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..operators.keyed import attach, first_per_key, join_on
 from ..operators.metrics import Metric, distinct_counts, distinct_pairs_per
 
 NAME = "program_entry"
+HOUSING_ENTRY = "Entered TH/RRH/PSH program"
 # Columns a metric is decided by; the populations need none of them.
 DECIDING = ("program_type", "entry_ts", "exit_date", "exit_destination")
 
@@ -47,7 +50,7 @@ def _conditions(start: str, end: str) -> dict[str, Column]:
         "Entered diversion": (program == L.DIVERSION) & entered,
         "Housed through diversion": (program == L.DIVERSION) & left,
         "Were open in CE": program == L.COORDINATED_ENTRY,
-        "Entered TH/RRH/PSH program": program.isin(list(L.HOUSING_PROGRAMS)) & entered,
+        HOUSING_ENTRY: program.isin(list(L.HOUSING_PROGRAMS)) & entered,
         "Stabilized through prevention": (program == L.PREVENTION) & left,
     }
 
@@ -68,7 +71,10 @@ def system_map_counts(
 
 
 def _count(
-    stays: DataFrame, populations: dict[str, tuple[str, Column]], names: list[str]
+    stays: DataFrame,
+    populations: dict[str, tuple[str, Column]],
+    names: list[str],
+    more: Sequence[Metric] = (),
 ) -> DataFrame:
     members = {f"member{i}": member for i, (_, member) in enumerate(populations.values())}
     metrics = [
@@ -76,7 +82,7 @@ def _count(
         for i, (title, (key, _)) in enumerate(populations.items())
         for j, name in enumerate(names)
     ]
-    return distinct_counts(stays.withColumns(members), metrics)
+    return distinct_counts(stays.withColumns(members), [*metrics, *more])
 
 
 def report_populations() -> dict[str, tuple[str, Column]]:
@@ -92,8 +98,8 @@ def report_populations() -> dict[str, tuple[str, Column]]:
     }
 
 
-def system_map(entries: DataFrame, demographics: DataFrame, start: str, end: str) -> DataFrame:
-    """The system map of all six populations in one pass over the entries.
+def _mapped_stays(entries: DataFrame, demographics: DataFrame, start: str, end: str) -> DataFrame:
+    """Counted stays with the ages of their group and the flags of their client.
 
     Stays that no metric counts are dropped before the joins; the ages of their
     group still see all its stays.
@@ -104,28 +110,33 @@ def system_map(entries: DataFrame, demographics: DataFrame, start: str, end: str
         (recode.bipoc(["primary_race", "secondary_race"], "ethnicity") == 1).alias("is_bipoc"),
     )
     stays = join_on(counted_stays(entries, start, end), group_ages(entries), ["group_uid"])
-    stays = join_on(stays, people, ["client_id"])
+    return join_on(stays, people, ["client_id"])
+
+
+def system_map(entries: DataFrame, demographics: DataFrame, start: str, end: str) -> DataFrame:
+    """The system map of all six populations in one pass over the entries."""
+    stays = _mapped_stays(entries, demographics, start, end)
     return _count(stays, report_populations(), list(_conditions(start, end)))
 
 
+def agencies(providers: DataFrame) -> DataFrame:
+    return providers.select("agency", "provider_id").distinct()
+
+
 def housing_entries(entries: DataFrame, providers: DataFrame, start: str, end: str) -> DataFrame:
     """Entries into housing programs in the year, with the agencies of the provider."""
-    housing = F.col("program_type").isin(list(L.HOUSING_PROGRAMS))
-    entered = entries.filter(housing & in_window("entry_ts", day(start), day(end)))
-    return join_on(entered, providers.select("agency", "provider_id").distinct(), ["provider_id"])
+    entered = entries.filter(_conditions(start, end)[HOUSING_ENTRY])
+    return join_on(entered, agencies(providers), ["provider_id"])
+
+
+def _summary_metrics(where: Column) -> list[Metric]:
+    keys = {"Agencies": "agency", "Programs": "provider_id", "Households": "household_key"}
+    return [Metric(name, key, where) for name, key in keys.items()]
 
 
 def program_summary(entries: DataFrame, providers: DataFrame, start: str, end: str) -> DataFrame:
     """Agencies, programs and households among the housing entries of the year."""
-    rows = housing_entries(entries, providers, start, end)
-    return distinct_counts(
-        rows,
-        [
-            Metric("Agencies", "agency", F.lit(True)),
-            Metric("Programs", "provider_id", F.lit(True)),
-            Metric("Households", "household_key", F.lit(True)),
-        ],
-    )
+    return distinct_counts(housing_entries(entries, providers, start, end), _summary_metrics(F.lit(True)))
 
 
 def program_types(entries: DataFrame, providers: DataFrame, start: str, end: str) -> DataFrame:
@@ -137,6 +148,11 @@ def program_types(entries: DataFrame, providers: DataFrame, start: str, end: str
 def report(
     entries: DataFrame, demographics: DataFrame, providers: DataFrame, start: str, end: str
 ) -> DataFrame:
-    metrics = system_map(entries, demographics, start, end)
-    summary = program_summary(entries, providers, start, end)
-    return metrics.unionByName(summary).select(F.lit(NAME).alias("report"), "*")
+    """System map and program summary in one pass: the summary counts among the stays of the map.
+
+    A provider of several agencies repeats its stays, which changes no distinct count.
+    """
+    names = list(_conditions(start, end))
+    stays = join_on(_mapped_stays(entries, demographics, start, end), agencies(providers), ["provider_id"])
+    summary = _summary_metrics(F.col(f"stay{names.index(HOUSING_ENTRY)}"))
+    return _count(stays, report_populations(), names, summary).select(F.lit(NAME).alias("report"), "*")

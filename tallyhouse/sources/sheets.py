@@ -5,6 +5,7 @@ An extract is a folder with one subfolder (or file) per sheet, in CSV or Parquet
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -99,5 +100,28 @@ def assessment_table(df: DataFrame) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str, *, partition_by: Sequence[str] = ("report",)) -> None:
-    """Writes labelled metrics ``(report, population, metric, value)``."""
-    report.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Writes labelled metrics ``(report, population, metric, value)`` to a folder, in place of what is there.
+
+    The report is written beside the folder and takes its place by renaming when it is whole: a job that fails, or
+    whose executors are lost, leaves the report that was there, and readers see one or the other.
+    """
+    spark = report.sparkSession
+    path = path.rstrip("/")
+    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    files = spark._jvm.org.apache.hadoop.fs
+    folder = files.Path(path)
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        report.write.partitionBy(*partition_by).parquet(fresh)
+        replaced = system.exists(folder)
+        if replaced and not system.rename(folder, files.Path(old)):
+            raise OSError(f"cannot replace {path}")
+        if not system.rename(files.Path(fresh), folder):
+            if replaced:
+                system.rename(files.Path(old), folder)
+            raise OSError(f"cannot write {path}")
+        if replaced:
+            system.delete(files.Path(old), True)
+    finally:
+        if system.exists(files.Path(fresh)):
+            system.delete(files.Path(fresh), True)

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
 from tallyhouse.functions.dates import on_day
 from tallyhouse.operators import reshape
 from tallyhouse.sources import headers, schemas, sheets
@@ -81,3 +83,15 @@ def test_client_list_with_a_blank_header(spark, tmp_path):
     assert set(clients.columns) == set(schemas.CLIENTS.values())
     row = clients.first()
     assert (row.newly_homeless, row.status_date, row.veteran) == ("Newly Homeless", dt.date(2022, 5, 6), "No")
+
+
+def test_a_failed_report_leaves_the_old_one(spark, frame, tmp_path):
+    path = str(tmp_path / "out")
+    rows = frame("report string, population string, metric string, value long", ("r", "All", "m", 1))
+    sheets.write_report(rows, path)
+    sheets.write_report(rows.withColumn("value", F.lit(2)), path)
+    assert [r.value for r in spark.read.parquet(path).collect()] == [2]
+    with pytest.raises(Exception, match="no value"):
+        sheets.write_report(rows.withColumn("value", F.raise_error(F.lit("no value")).cast("long")), path)
+    assert [r.value for r in spark.read.parquet(path).collect()] == [2]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
