@@ -27,27 +27,32 @@ class PieceCache(dict):
 
     The word tokenizer drops white space and no token crosses it: its pattern has no white space, it looks at no
     context, its normalizers act on single characters or compose a character with marks that follow it. So the ids of a
-    text are those of its pieces between ASCII white space, one after the other.
+    text are those of its pieces between ASCII white space, one after the other. Special strings hold no white space
+    either, and have their own ids wherever they stand.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.marks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
+            self.words.clear()
         text = piece.decode()
         plain = _PLAIN.fullmatch(text)
         if plain:
             # One run of letters, one of marks: what normalizers and pattern make of it is known, so the model is asked.
             letters, marks = plain.groups()
-            word = letters.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
-            value = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            letters = letters.lower()
+            value = self.words.get(letters)
+            if value is None:
+                word = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                value = self.words[letters] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
             if marks:
                 tail = self.marks.get(marks)
                 if tail is None:

@@ -184,6 +184,13 @@ def test_pages(spark):
         ("<head><meta charset=x><script>var a = '<p>'</script><style>p {}</style>Plain text<p>Two.", ["Plain text", "Two."]),
         ("<head><noscript><img src=x></noscript><title>t</title></head><body><p>One<svg><title>no</title></svg> two.", ["One two."]),
         ("<head><script src=x /><title>t</title></head><body><p>One.<p>Two.", ["One.", "Two."]),
+        ("<p>A one.<svg><title>x</svg><p>Article two.", ["A one.", "Article two."]),
+        ("<p>A one.<svg><style>a{}</svg><p>Article two.", ["A one.", "Article two."]),
+        ("<p>A one.<noscript><iframe src=x></noscript><p>Article two.", ["A one.", "Article two."]),
+        ("<p>A one.<svg><g></title><text>junk</text></svg><p>Article two.", ["A one.", "Article two."]),
+        ("<p>A one.<math><svg></math><p>Two.</svg> Three.", ["A one.", "Two. Three."]),
+        ("<head><noscript><style>p{}</noscript><p>One.", ["One."]),
+        ("<p>One.<script>if (a < b) '</svg><p>'</script><p>Two.", ["One.", "Two."]),
         ("<p>One.<svg viewBox=x /><p>Two.<iframe src=x /><canvas/><p>Three.", ["One.", "Two.", "Three."]),
     ],
 )
@@ -191,6 +198,15 @@ def test_nothing_but_hidden_elements_is_hidden(page, texts):
     assert [t for t in html_extraction.parsed(page).blocks() if t] == texts
 
 
+def test_repeated_pages_and_clashing_columns(frame):
+    names = "page_id long, url string, html string, text string, n_chars int, tag int, label int"
+    row = (1, "u", "<body><article><p>One long sentence of the article, and more of it here.</article>", "x", 1, 2, 3)
+    found = html_extraction.extracted(frame(names, row, row, (None, None, row[2], *row[3:])))
+    assert found.columns[:4] == ["page_id", "url", "text", "n_chars"]
+    text = "One long sentence of the article, and more of it here."
+    same([tuple(r)[:4] for r in found.collect()], [(1, "u", text, len(text))] * 2 + [(None, None, text, len(text))])
+
+
 # 4
 
 
@@ -315,6 +331,15 @@ def test_contamination(spark, docs, rows):
     same(collected(clean.select("doc_id")), [(e[0],) for e in expected if not e[-1]])
 
 
+def test_copies_of_one_item_share_no_memory(spark):
+    """A third of the benchmark is one item: it is searched once, in as few passes."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "doc_id long, text string")
+    items = [(i, f"x{i} y z") for i in range(60)] + [(7, "c d e f g h i j k l")] * 30 + [(8, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contamination(docs, benchmark, pass_words=200)
+    assert collected(decontamination.digest(found))[0][:4] == (1, 12, 10, 1)
+
+
 # 6
 
 
@@ -568,6 +593,8 @@ def test_tokens_by_pieces_are_the_librarys(rows):
     cache = tokens.PieceCache(tokens.vocabulary())
     odd = ["É́ é  İSTANBUL ΣΑΣ don't 'RE", "12½ ²³ 日本語 \U0001f600‍ x\x1cy\x85z <|endoftext|> ß ÿ! it's--", "a" * 5000]
     texts = [t for _, t, _ in rows] + odd
+    # Special strings in texts have their own ids.
+    assert next(cache.ids(pa.array(["stop at <|endoftext|> here"]))).tolist() == [1691, 536, 49407, 763]
     for text, ids in zip(texts, cache.ids(pa.array(texts, pa.string()))):
         assert cache.tokenizer.encode(text or "", add_special_tokens=False).ids == ids.tolist()
 
@@ -595,6 +622,21 @@ def test_packing(docs, rows):
     assert len(sequences) <= packing.least_bins(Counter(f[3] for f in found), 256) + 2
 
 
+@pytest.mark.parametrize("seed", [15, 24, 42, 43, 52, 63])
+def test_bin_completion_beats_best_fit(seed):
+    """Histograms where best-fit decreasing takes a sequence too many."""
+    r = random.Random(seed)
+    counts = {r.randint(20, 60): r.randint(1, 6) for _ in range(r.randint(5, 9))}
+    plan = packing.packed_counts(counts, 100)
+    used = Counter()
+    for content, number in plan:
+        assert sum(content) <= 100
+        used.update({x: n * number for x, n in Counter(content).items()})
+    assert used == counts
+    bins = sum(n for _, n in plan)
+    assert bins == packing.least_bins(counts, 100) < sum(n for _, n in packing.best_fit(counts, 100))
+
+
 def test_packing_of_repeated_rows_under_a_null_id(spark, monkeypatch):
     """Every slot is filled once though the rows cannot be told apart."""
     monkeypatch.setattr(packing, "GROUP_ROWS", 100)
