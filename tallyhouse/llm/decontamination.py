@@ -142,7 +142,9 @@ def _searched(
     item_text_column: str = "text",
 ) -> DataFrame:
     """``given`` (``doc_id, text``; the id may be a whole row) with ``n_words, spans, items``."""
+    # Repeated rows add no window and no item; without them no hash class of a pass is a copy's alone.
     items = projected(benchmark, item=item_column, text=item_text_column).select(F.col("item").cast("string"), "text")
+    items = items.distinct()
     # Each word is in up to `window` patterns, and words take two characters at least with what parts them.
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, math.ceil(total / 2 * window / pass_words))
