@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 # Elements of the HTML standard by how they lay out text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style noscript template title svg math iframe object audio video canvas datalist".split())
+#: Hidden elements whose content is read as markup, not as text up to an end tag.
+MARKUP_INSIDE = frozenset({"svg", "math", "noscript"})
 #: What a head may hold; anything else that opens in it starts the body.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = frozenset(
@@ -82,8 +84,7 @@ class PageTree(HTMLParser):
         self.text: list[list[str] | None] = [None]
         self.linked = [0]
         self.open: list[tuple[str, int]] = [("#page", 0)]  # name, block node it belongs to
-        self.hidden = 0
-        self.head = False  # in a head, and in no other hidden element
+        self.hidden: list[str] = []  # open hidden elements, outermost first
         self.run = -1
         self.links = 0  # open links
 
@@ -91,20 +92,17 @@ class PageTree(HTMLParser):
         """Line numbers are not needed."""
         return j
 
+    def set_cdata_mode(self, elem: str, **options) -> None:
+        """Content of graphics, formulas and noscript is markup, whatever the element: their end tags end it."""
+        if not MARKUP_INSIDE.intersection(self.hidden):
+            super().set_cdata_mode(elem, **options)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.head and self.hidden == 1 and tag not in IN_HEAD:  # an unended head
-            self.hidden, self.head = 0, False
+        if self.hidden == ["head"] and tag not in IN_HEAD or "head" in self.hidden and tag == "body":  # an unended head
+            self.hidden.clear()
+        if tag in HIDDEN and tag not in VOID:
+            self.hidden.append(tag)
         if self.hidden:
-            if tag in HIDDEN and tag not in VOID:
-                self.hidden += 1
-            elif tag == "body":  # an unended head
-                self.hidden, self.head = 0, False
-            else:
-                return
-            if self.hidden:
-                return
-        elif tag in HIDDEN:
-            self.hidden, self.head = 1, tag == "head"
             return
         if tag == "br":
             self._add(" ", False)
@@ -131,12 +129,14 @@ class PageTree(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in HIDDEN:
             self.handle_starttag(tag, attrs)
-        elif self.head and self.hidden == 1 and tag not in IN_HEAD:
-            self.hidden, self.head = 0, False
+        elif self.hidden == ["head"] and tag not in IN_HEAD:
+            self.hidden.clear()
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:
-            self.hidden -= tag in HIDDEN
+            # Ends its own element and what is open inside; other end tags end nothing hidden.
+            if tag in self.hidden:
+                del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
             return
         if tag in BLOCK:
             self.run = -1
@@ -159,8 +159,8 @@ class PageTree(HTMLParser):
             del self.open[cut:]
 
     def handle_data(self, data: str) -> None:
-        if self.head and self.hidden == 1 and data.strip():
-            self.hidden, self.head = 0, False
+        if self.hidden == ["head"] and data.strip():
+            self.hidden.clear()
         if not self.hidden:
             self._add(data, self.links > 0)
 
