@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -190,9 +190,10 @@ def packed_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     """Fillings with multiplicities that use up the histogram, in as few bins as the search finds.
 
     The incumbent is best-fit decreasing. While it has more bins than the lower bound, bin completion is run, first with
-    the fullest filling at every step, then with another choice at one step, later ones last. What has fewer bins is the
-    incumbent from then on, and further choices start from its own. The search ends at the bound, with all choices
-    tried, or when its nodes are spent.
+    the fullest filling at every step, then with other choices at one step, at two steps, and so on. What has fewer bins
+    is the incumbent from then on, and further choices start from its own. The search ends at the bound, with all choices
+    tried, or when ``SEARCH_NODES`` are spent. It is not exhaustive: a step takes one of the ``CHOICES`` fullest fillings,
+    among those that ``FILLING_NODES`` nodes find, and a filling is used for as many bins as its pieces last.
     """
     counts = {int(x): int(n) for x, n in counts.items() if n}
     if not counts:
@@ -200,28 +201,29 @@ def packed_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     best, spent = best_fit(counts, capacity), [0]
     least = least_bins(counts, capacity)
     bins = lambda plan: sum(n for _, n in plan)
-    base: list[int] = []
-    tries = iter([[]])
+    tries = _deviations([], len(best))
     while bins(best) > least and spent[0] < SEARCH_NODES:
         path = next(tries, None)
         if path is None:
             break
         found = completed(counts, capacity, bins(best), path, spent)
-        better = found is not None and bins(found) < bins(best)
-        if better:
-            best, base = found, path
-        if better or not path:
-            steps = len(best)
-            tries = iter(
-                [
-                    [*(base + [0] * steps)[:step], choice, *base[step + 1 :]]
-                    for choice in range(1, CHOICES)
-                    for step in range(steps)
-                ]
-            )
+        if found is not None and bins(found) < bins(best):
+            best, tries = found, _deviations(path, len(found))
     return best
 
 
+def _deviations(base: list[int], steps: int) -> Iterator[list[int]]:
+    """Choices at each step: those of ``base``, then with other choices at one step, at two steps and so on."""
+    base = (base + [0] * steps)[:steps]
+    for many in range(steps + 1):
+        for places in combinations(range(steps), many):
+            for others in product(range(1, CHOICES), repeat=many):
+                path = list(base)
+                for place, other in zip(places, others):
+                    path[place] = (path[place] + other) % CHOICES
+                yield path
+
+
 def slots(plan: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:
     """For each length the slots in order: columns first rank, first sequence, offset."""
     by_length: dict[int, list[tuple[int, int, int]]] = {}
