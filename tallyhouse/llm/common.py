@@ -65,6 +65,18 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: str) -> DataFrame:
+    """Applies a generator from Arrow batches to lists of whole columns (arrays or sequences) within tasks."""
+    arrow = _arrow_schema(df.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in function(batches):
+            arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), schema)]
     return pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -14,18 +14,21 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_rows, projected, shared_folder
+from .common import durable, map_batches, map_rows, projected, shared_folder
 from .tokens import vocabulary, word_tokens
 
 ROUNDS = 6
 #: Write tasks at most; more shards are written one after the other by the same task.
 MAX_RANGES = 100_000
+#: Slots of a written shard that are read back together.
+READ_SLOTS = 4096
 
 
 @dataclass(frozen=True)
@@ -139,52 +142,63 @@ def materialised(
     firsts, total = {}, 0
     for part, n in sorted(map(tuple, sizes)):
         firsts[part], total = total, total + n
+    # One number for each partition, however many tasks read them.
+    held = spark.sparkContext.broadcast(firsts)
     order, shards = Permutation(max(1, total), key), -(-total // layout.per_shard)
 
-    dealt = map_rows(
+    dealt = map_batches(
         encoded,
-        lambda batches: _dealt(batches, firsts, order, layout),
+        lambda batches: _dealt(batches, held.value, order, layout),
         f"shard bigint, slots array<bigint>, doc_ids array<{kind}>, pieces array<int>, sizes array<int>, ids binary",
-        arrow_in=True,
     )
     # Ranges are computed, not sampled: a range holds whole shards that follow one another.
     ranges = max(1, min(shards, MAX_RANGES))
     placed = dealt.repartitionById(ranges, F.floor(F.col("shard") * ranges / max(1, shards)).cast("int"))
-    return map_rows(
+    return map_batches(
         placed.sortWithinPartitions("shard"),
-        lambda rows: _written(rows, folder, total, layout),
+        lambda batches: _written(batches, folder, total, layout),
         f"doc_id {kind}, piece int, slot bigint, shard bigint, byte_offset bigint, n_ids bigint, ids_crc32 bigint",
     )
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places ``start .. start + size - 1`` of each range, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def _dealt(
     batches: Iterator[pa.RecordBatch], firsts: dict[int, int], order: Permutation, layout: Layout
-) -> Iterator[tuple]:
+) -> Iterator[list]:
     """For each batch and shard one row with all sequences of the batch that belong there."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        numbers, doc_ids, pieces, parts = [], [], [], []
-        for part, first, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns)):
-            count = layout.pieces(len(ids) // 2)
-            numbers.append(np.arange(count) + firsts[part] + first)
-            doc_ids += [doc_id] * count
-            pieces += range(count)
-            parts += [ids[k * layout.slot_bytes : (k + 1) * layout.slot_bytes] for k in range(count)]
-        if not numbers:
+        if not batch.num_rows:
             continue
-        slots = order.slots(np.concatenate(numbers))
-        by_shard = np.argsort(slots)
-        shard = slots[by_shard] // layout.per_shard
-        for own in np.split(by_shard, np.flatnonzero(np.diff(shard)) + 1):
-            chosen = own.tolist()
-            yield (
-                int(slots[own[0]]) // layout.per_shard,
-                slots[own].tolist(),
-                [doc_ids[i] for i in chosen],
-                [pieces[i] for i in chosen],
-                [len(parts[i]) // 2 for i in chosen],
-                press.compress(b"".join(parts[i] for i in chosen)),
-            )
+        part, first, doc_ids, ids = batch.columns
+        base = np.array([firsts[p] for p in part.to_pylist()], dtype=np.int64) + first.to_numpy()
+        bytes_of = pc.binary_length(ids).to_numpy().astype(np.int64)
+        flat = np.frombuffer(b"".join(ids.to_pylist()), dtype="<u2")
+        count = np.maximum(1, -(-bytes_of // layout.slot_bytes))
+        document = np.repeat(np.arange(len(count)), count)
+        piece = _ranges(np.zeros_like(count), count)
+        numbers = base[document] + piece
+        begin = (np.cumsum(bytes_of) - bytes_of)[document] // 2 + piece * layout.stride
+        size = np.minimum(bytes_of[document] // 2 - piece * layout.stride, layout.stride)
+        slots = order.slots(numbers)
+        by_slot = np.argsort(slots)
+        slots, size, piece = slots[by_slot], size[by_slot], piece[by_slot]
+        moved = flat[_ranges(begin[by_slot], size)]
+        owners = doc_ids.take(pa.array(document[by_slot]))
+        shard = slots // layout.per_shard
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1))
+        bounds = pa.array(np.append(starts, len(shard)), pa.int32())
+        ends = np.concatenate(([0], np.cumsum(size)))[bounds.to_numpy()].tolist()
+
+        def lists(values) -> pa.Array:
+            return pa.ListArray.from_arrays(bounds, values)
+
+        pressed = [press.compress(moved[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
+        yield [shard[starts], *map(lists, (slots, owners, piece, size)), pressed]
 
 
 def shard_path(folder: str, shard: int) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -192,32 +206,51 @@ def shard_path(folder: str, shard: int) -> tuple[pyarrow.fs.FileSystem, str]:
     return files, f"{root.rstrip('/')}/shard-{shard:08d}.bin"
 
 
-def _written(rows: Iterator[tuple], folder: str, total: int, layout: Layout) -> Iterator[tuple]:
+def _written(batches: Iterator[pa.RecordBatch], folder: str, total: int, layout: Layout) -> Iterator[list]:
     """Puts the shards of one task together, one at a time, writes them and gives what is read from them."""
     unpress = zstandard.ZstdDecompressor()
-    for shard, given in groupby(rows, key=lambda row: row[0]):
+    rows = (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows))
+    for shard, given in groupby(rows, key=lambda row: row.column(0)[0].as_py()):
         first = shard * layout.per_shard
         filled = np.full((min(layout.per_shard, total - first), layout.stride), layout.pad, dtype="<u2")
-        owners: dict[int, tuple] = {}
-        for _, slots, doc_ids, pieces, sizes, pressed in given:
-            ids = np.frombuffer(unpress.decompress(pressed), dtype="<u2")
-            size = np.array(sizes)
-            row = np.repeat(np.array(slots) - first, size)
-            filled[row, np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)] = ids
-            owners.update(zip(slots, zip(doc_ids, pieces)))
+        owner = np.full(len(filled), -1, dtype=np.int64)
+        doc_ids, pieces, known = [], [], 0
+        for row in given:
+            slots, own, piece, size = (row.column(i).flatten() for i in range(1, 5))
+            place, size = slots.to_numpy() - first, size.to_numpy()
+            ids = np.frombuffer(unpress.decompress(row.column(5)[0].as_py()), dtype="<u2")
+            filled[np.repeat(place, size), _ranges(np.zeros_like(size), size)] = ids
+            owner[place] = known + np.arange(len(place))
+            known += len(place)
+            doc_ids.append(own)
+            pieces.append(piece)
+        if known != len(filled) or (owner < 0).any():
+            raise RuntimeError("a slot is empty or filled twice")
         files, name = shard_path(folder, shard)
         files.create_dir(name.rsplit("/", 1)[0], recursive=True)
         temporary = f"{name}.{TaskContext.get().taskAttemptId()}"
         with files.open_output_stream(temporary) as out:
             out.write(memoryview(filled).cast("B"))
         files.move(temporary, name)
-        if len(owners) != len(filled):
-            raise RuntimeError("a slot is empty or filled twice")
+        order = pa.array(owner)
+        doc_ids, pieces = pa.concat_arrays(doc_ids).take(order), pa.concat_arrays(pieces).take(order)
         with files.open_input_stream(name) as stream:
-            for k in range(len(filled)):
-                ids = unpadded(stream.read(layout.slot_bytes), layout)
-                crc = zlib.crc32(ids.astype("<u4").tobytes())
-                yield (*owners[first + k], first + k, shard, k * layout.slot_bytes, len(ids), crc)
+            for at in range(0, len(filled), READ_SLOTS):
+                many = min(READ_SLOTS, len(filled) - at)
+                read = np.frombuffer(stream.read(many * layout.slot_bytes), dtype="<u2").reshape(many, layout.stride)
+                size = (read != layout.pad).sum(axis=1)
+                wide = read.astype("<u4")
+                crc = [zlib.crc32(memoryview(ids)[:n]) for ids, n in zip(wide, size.tolist())]
+                place = at + np.arange(many)
+                yield [
+                    doc_ids.slice(at, many),
+                    pieces.slice(at, many),
+                    first + place,
+                    np.full(many, shard),
+                    place * layout.slot_bytes,
+                    size,
+                    crc,
+                ]
 
 
 def unpadded(raw: bytes, layout: Layout) -> np.ndarray:
