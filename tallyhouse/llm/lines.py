@@ -1,60 +1,65 @@
 """Line de-duplication by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines chooses where a chunk ends, so boundaries move with the text and a
-passage of several lines is cut alike wherever it stands. Multi-line chunks that occur more than once in the corpus, byte
-for byte, are removed but for their first occurrence.
-
-Boundaries seldom agree with the ends of a passage. So a *whole* removal also looks at each pair of neighbouring lines
-that are not blank: every repeated run of lines is made of such pairs, and they cover it from its first to its last line.
+A rolling hash over the hashes of the last lines marks boundary lines, so boundaries move with the text and a passage of
+several lines is marked alike wherever it stands. From every line a chunk reaches on to the next boundary line, and one
+back to the last: so the chunks of a repeated run cover it from its first to its last line, however it is embedded. Chunks
+that stand elsewhere in the corpus before, byte for byte, are removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_rows, projected
 
-#: Lines in the rolling window, expected lines between boundaries, and lines of a chunk at least.
-WINDOW = 1
-AVERAGE = 2
-MIN_LINES = 2
+#: Lines in the rolling window; one line in so many is no boundary; lines of a chunk at most.
+WINDOW = 2
+SPARSE = 8
+MOST_LINES = 16
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def chunks(lines: list[str], window: int = WINDOW, average: int = AVERAGE, least: int = MIN_LINES) -> list[tuple[int, int]]:
-    """``[first, stop)`` of all chunks; those of fewer lines than ``least`` are at the ends of a text only.
-
-    The rolling hash is a polynomial over the hashes of the last ``window`` lines. A chunk ends after a line where its
-    upper bits are zero modulo ``average``, once it has ``least`` lines. It also *starts* at such a line's successor
-    only, so equal passages are cut alike from their first boundary on.
-    """
-    found, first, rolled = [], 0, 0
+def boundaries(lines: list[str], window: int = WINDOW, sparse: int = SPARSE) -> list[bool]:
+    """Whether each line is a boundary: by a polynomial over the hashes of the last ``window`` lines."""
+    marks, rolled = [], 0
     top = pow(_BASE, window, 1 << 64)
     hashes = [xxhash.xxh64_intdigest(line) for line in lines]
     for i, value in enumerate(hashes):
         rolled = (rolled * _BASE + value) & _MASK
         if i >= window:
             rolled = (rolled - hashes[i - window] * top) & _MASK
-        if i + 1 - first >= least and i + 1 >= window and (rolled >> 32) % average == 0:
-            found.append((first, i + 1))
-            first = i + 1
-    if first < len(lines):
-        found.append((first, len(lines)))
-    return found
+        marks.append((rolled >> 32) % sparse != 0)
+    return marks
 
 
-def pairs(lines: list[str]) -> list[tuple[int, int]]:
-    """``[first, stop)`` from each line that is not blank to the next such line."""
-    at = [i for i, line in enumerate(lines) if line.strip()]
-    return [(a, b + 1) for a, b in zip(at, at[1:])]
+def chunks(lines: list[str], window: int = WINDOW, sparse: int = SPARSE, most: int = MOST_LINES) -> list[tuple[int, int]]:
+    """``[first, stop)`` of all chunks, of two to ``most`` lines that are not blank, with blank ones between.
+
+    A chunk reaches from a line to the next boundary line after it, or from the last boundary line before a line to it;
+    the ends of the text, and ``most`` lines, end a chunk as well, so that equal lines give no long ones.
+    """
+    full = [i for i, line in enumerate(lines) if line.strip()]
+    marks = boundaries([lines[i] for i in full], window, sparse)
+    last = len(full) - 1
+    found = set()
+    after = last
+    for k in range(last - 1, -1, -1):
+        if marks[k + 1]:
+            after = k + 1
+        found.add((full[k], full[min(after, k + most - 1)] + 1))
+    before = 0
+    for k in range(1, last + 1):
+        if marks[k - 1]:
+            before = k - 1
+        found.add((full[max(before, k - most + 1)], full[k] + 1))
+    return sorted(found)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -73,107 +78,80 @@ def _keyed(documents: DataFrame, text_column: str, id_column: str) -> DataFrame:
     return projected(documents, doc_id=id_column, text=text_column).withColumn("text_key", F.xxhash64("text"))
 
 
-def line_chunks(
-    documents: DataFrame,
-    window: int = WINDOW,
-    average: int = AVERAGE,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    with_text: bool = True,
-) -> DataFrame:
-    """``doc_id, text_key, first, stop, chunk_hash`` and ``chunk`` of all multi-line chunks. Null texts have no lines."""
+def _lines(text: str | None) -> list[str]:
+    return text.split("\n") if text else []
 
-    def rows(given: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text, key in given:
-            lines = text.split("\n") if text else []
-            for first, stop in chunks(lines, window, average):
-                if stop - first >= MIN_LINES:
-                    chunk = "\n".join(lines[first:stop])
-                    # Blank lines alone are no passage.
-                    if chunk.strip():
-                        value = xxhash.xxh64_intdigest(chunk)
-                        value -= (value >> 63) << 64
-                        yield (doc_id, key, first, stop, value, chunk)[: 5 + with_text]
 
-    kind = dict(documents.dtypes)[id_column]
-    schema = f"doc_id {kind}, text_key bigint, first int, stop int, chunk_hash bigint" + ", chunk string" * with_text
-    return map_rows(_keyed(documents, text_column, id_column), rows, schema)
+def _hash(line: str, bits: int) -> int:
+    """The upper bits of a line's hash, signed."""
+    value = xxhash.xxh64_intdigest(line) >> (64 - bits)
+    return value - (1 << 64) if value >> 63 else value
 
 
-def removals(
-    documents: DataFrame,
-    window: int = WINDOW,
-    average: int = AVERAGE,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
-    """``doc_id, text_key, first, stop`` of every repeated chunk occurrence but the first.
+def ambiguous_hashes(documents: DataFrame, text_column: str = "text", hash_bits: int = 64) -> list[int]:
+    """Hashes that two different lines of the corpus share: lines are compared byte for byte, copies folded before.
 
-    Chunks are grouped by hash and bytes; copies of a hot chunk are folded before the shuffle. A hash that stands for one
-    text, which the grouping has shown, is then joined without the bytes; one that stands for several is joined with them.
+    Of n different lines about n * n / 2 ** 65 share theirs: a handful among 10 ** 10.
     """
-    options = {"window": window, "average": average, "id_column": id_column, "text_column": text_column}
-    at = F.struct("doc_id", "text_key", "first")
-    groups = (
-        line_chunks(documents, **options)
-        .groupBy("chunk_hash", "chunk")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("place"))
-    )
-    texts = F.count(F.lit(1)).over(Window.partitionBy("chunk_hash"))
-    repeated = durable(
-        groups.select("chunk_hash", F.when(F.col("n") > 1, F.col("chunk")).alias("chunk"), "n", "place")
-        .withColumn("texts", texts)
-        .where("n > 1")
-        .select("chunk_hash", F.when(F.col("texts") > 1, F.col("chunk")).alias("chunk"), "place")
-    )
-    keep = ["doc_id", "text_key", "first", "stop"]
-    found = line_chunks(documents, with_text=False, **options)
-    gone = found.join(repeated.where("chunk IS NULL").drop("chunk"), "chunk_hash").where(at != F.col("place")).select(*keep)
-    collided = repeated.where("chunk IS NOT NULL")
-    if not collided.isEmpty():
-        both = line_chunks(documents, **options).join(collided, ["chunk_hash", "chunk"])
-        gone = gone.union(both.where(at != F.col("place")).select(*keep))
-    return gone
+
+    def rows(given: Iterator[tuple]) -> Iterator[tuple]:
+        for (text,) in given:
+            for line in {*_lines(text)}:
+                yield _hash(line, hash_bits), line
+
+    known = map_rows(projected(documents, text=text_column), rows, "hash bigint, line string")
+    shared = known.groupBy("hash", "line").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("lines"))
+    return [row["hash"] for row in shared.where("lines > 1").collect()]
 
 
-def line_passages(
+def line_chunks(
     documents: DataFrame,
     window: int = WINDOW,
-    average: int = AVERAGE,
+    sparse: int = SPARSE,
     id_column: str = "doc_id",
     text_column: str = "text",
+    hash_bits: int = 64,
 ) -> DataFrame:
-    """``doc_id, text_key, first, stop, digest`` of all multi-line chunks and all pairs, each span of a text once."""
+    """``doc_id, text_key, first, stop, chunk`` of all chunks; ``chunk`` is equal for equal bytes, and only for those.
+
+    It holds the hashes of the chunk's lines, and after a hash that several lines share the line itself. Null texts have
+    no lines.
+    """
+    ambiguous = frozenset(ambiguous_hashes(documents, text_column, hash_bits))
 
     def rows(given: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text, key in given:
-            lines = text.split("\n") if text else []
-            long = [(first, stop) for first, stop in chunks(lines, window, average) if stop - first >= MIN_LINES]
-            for first, stop in {*long, *pairs(lines)}:
-                passage = "\n".join(lines[first:stop])
-                if passage.strip():
-                    # 128 bits that two passages do not share stand for the bytes.
-                    yield doc_id, key, first, stop, blake2b(passage.encode(), digest_size=16).digest()
+            lines = _lines(text)
+            names = []
+            for line in lines:
+                value = _hash(line, hash_bits)
+                name = value.to_bytes(8, "little", signed=True)
+                if value in ambiguous:
+                    raw = line.encode()
+                    name += len(raw).to_bytes(8, "little") + raw
+                names.append(name)
+            for first, stop in chunks(lines, window, sparse):
+                yield doc_id, key, first, stop, b"".join(names[first:stop])
 
     kind = dict(documents.dtypes)[id_column]
-    schema = f"doc_id {kind}, text_key bigint, first int, stop int, digest binary"
+    schema = f"doc_id {kind}, text_key bigint, first int, stop int, chunk binary"
     return map_rows(_keyed(documents, text_column, id_column), rows, schema)
 
 
-def passage_removals(documents: DataFrame, **options) -> DataFrame:
-    """``doc_id, text_key, first, stop`` of every chunk or pair that stands elsewhere before.
+def removals(documents: DataFrame, **options) -> DataFrame:
+    """``doc_id, text_key, first, stop`` of every chunk that stands elsewhere before.
 
     An earlier place that shares lines with it does not count, so three equal lines are not a repeated passage.
     """
-    found = line_passages(documents, **options)
+    found = line_chunks(documents, **options)
     place = F.struct("doc_id", "text_key", "first", "stop")
-    # Copies of a hot passage are folded before the shuffle.
+    # Copies of a hot chunk are folded before the shuffle.
     repeated = durable(
-        found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")).where("n > 1").drop("n")
+        found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")).where("n > 1").drop("n")
     )
     own = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("text_key") == F.col("place.text_key"))
     return (
-        found.join(repeated, "digest")
+        found.join(repeated, "chunk")
         .where(~(own & (F.col("first") < F.col("place.stop"))))
         .select("doc_id", "text_key", "first", "stop")
     )
@@ -187,61 +165,77 @@ def _merged(spans: str) -> Column:
     return run(spans)
 
 
+def _left(text: Column, gone: Column) -> Column:
+    """The text without the lines of the spans, in one walk over both."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        def one(text, own):
+            if text is None or own is None:
+                return text
+            lines, kept, at = text.split("\n"), [], 0
+            for span in own:
+                kept += lines[at : span["first"]]
+                at = span["stop"]
+            return "\n".join(kept + lines[at:])
+
+        return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
+
+    return run(text, gone)
+
+
+def _merged(spans: str) -> Column:
+    @F.pandas_udf("array<struct<first:int,stop:int>>")
+    def run(given: pd.Series) -> pd.Series:
+        return given.map(lambda own: [{"first": a, "stop": b} for a, b in merged([(g["first"], g["stop"]) for g in own])])
+
+    return run(spans)
+
+
 def deduplicated(
     documents: DataFrame,
     window: int = WINDOW,
-    average: int = AVERAGE,
+    sparse: int = SPARSE,
     id_column: str = "doc_id",
     text_column: str = "text",
     count_column: str | None = None,
     removed_column: str | None = None,
-    whole: bool = False,
+    hash_bits: int = 64,
 ) -> DataFrame:
-    """``documents`` with repeated multi-line chunks taken out of the text; all rows and columns stay.
-
-    With ``whole`` all repeated runs of two lines or more that are not blank go as well, from their first to their last
-    line. Blank lines around a run stay, and so does the first occurrence of every line.
+    """``documents`` with repeated multi-line passages taken out of the text; all rows and columns stay.
 
-    The first occurrence, by id, text hash and line, stays. Rows that agree in id and text are one document and lose
+    A passage is a run of chunks that stand elsewhere before; blank lines around it stay, and so does the first
+    occurrence of every chunk, by id, text hash and line. Rows that agree in id and text are one document and lose
     the same lines. A null id sorts first; null texts stay null, empty ones empty, and a text may become empty.
     ``count_column`` names a column to set to the new number of code points, if given and present; ``removed_column``
-    one to add with the number of lines removed. Other columns may have any name. Empty tables give no rows.
+    one to add with the number of lines removed, in place of a column of that name. Other columns may have any name.
+    Empty tables give no rows.
     """
-    options = {"window": window, "average": average, "id_column": id_column, "text_column": text_column}
+    options = {"window": window, "sparse": sparse, "id_column": id_column, "text_column": text_column, "hash_bits": hash_bits}
     gone = (
-        (passage_removals if whole else removals)(documents, **options)
+        removals(documents, **options)
         .groupBy("doc_id", "text_key")
         # One document's own chunks: bounded by its text.
         .agg(F.collect_set(F.struct("first", "stop")).alias("gone"))
-        .select(
-            F.col("doc_id").alias("gone_id"),
-            F.col("text_key").alias("gone_key"),
-            (_merged("gone") if whole else F.col("gone")).alias("gone"),
-        )
+        .select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), _merged("gone").alias("gone"))
     )
     text = f"_row.`{text_column}`"
     packed = documents.select(F.struct("*").alias("_row")).withColumn("_key", F.xxhash64(text))
     joined = packed.join(
         gone, F.col(f"_row.`{id_column}`").eqNullSafe(F.col("gone_id")) & (F.col("_key") == F.col("gone_key")), "left"
     )
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.array_join(
-        F.filter(
-            lines,
-            lambda line, i: ~F.exists("gone", lambda g: (i >= g["first"]) & (i < g["stop"])),
-        ),
-        "\n",
-    )
-    new = F.when(F.col("gone").isNull(), F.col(text)).otherwise(left)
+    # Only texts that lose lines are split.
+    new = F.when(F.col("gone").isNull(), F.col(text)).otherwise(_left(F.when(F.col("gone").isNotNull(), F.col(text)), F.col("gone")))
+    cleaned = joined.select("_row", "gone", new.alias("_new"))
     out = []
     for field in documents.columns:
         if field == text_column:
-            out.append(new.alias(field))
+            out.append(F.col("_new").alias(field))
         elif field == count_column:
-            out.append(F.coalesce(F.length(new), F.lit(0)).cast(dict(documents.dtypes)[field]).alias(field))
-        else:
+            out.append(F.coalesce(F.length("_new"), F.lit(0)).cast(dict(documents.dtypes)[field]).alias(field))
+        elif field != removed_column:
             out.append(F.col(f"_row.`{field}`").alias(field))
     if removed_column:
         removed = F.aggregate("gone", F.lit(0), lambda n, g: n + g["stop"] - g["first"])
         out.append(F.coalesce(removed, F.lit(0)).cast("bigint").alias(removed_column))
-    return joined.select(*out)
+    return cleaned.select(*out)

@@ -79,7 +79,7 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated passages of lines: lines removed, code points and digest of the rest."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cleaned = lines.deduplicated(documents, removed_column="n_removed", whole=True)
+    cleaned = lines.deduplicated(documents, removed_column="n_removed")
     return cleaned.select(
         "doc_id",
         "n_removed",

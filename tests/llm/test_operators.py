@@ -449,25 +449,23 @@ def test_every_span_of_a_license_is_returned(frame):
 
 
 def plain_deduplicated(rows):
-    """By dictionaries over whole chunk texts."""
+    """By dictionaries over whole chunk texts: the first place of each, then what stands elsewhere later."""
     keyed = {(d is not None, d or 0, xxhash.xxh64_intdigest((t or "").encode(), 42), t) for d, t, _ in rows}
     key = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if h >> 63 else 0) if t is not None else 42
     order = sorted(((named, d, key(t), t) for named, d, _, t in keyed), key=lambda x: x[:3])
-    seen, cleaned = set(), {}
-    for named, d, _, text in order:
-        if text is None:
-            cleaned[named, d, text] = (None, 0)
-            continue
-        own, kept, gone = text.split("\n"), [], 0
-        for a, b in lines.chunks(own):
-            chunk = "\n".join(own[a:b])
-            if b - a >= 2 and chunk.strip():
-                if chunk in seen:
-                    gone += b - a
-                    continue
-                seen.add(chunk)
-            kept += own[a:b]
-        cleaned[named, d, text] = ("\n".join(kept), gone)
+    places, cleaned = {}, {}
+    spans = [lines.chunks(t.split("\n") if t else []) for *_, t in order]
+    for number, (*_, text) in enumerate(order):
+        for a, b in spans[number]:
+            places.setdefault("\n".join(text.split("\n")[a:b]), (number, a, b))
+    for number, (named, d, _, text) in enumerate(order):
+        own, gone = (text or "").split("\n"), set()
+        for a, b in spans[number]:
+            at, _, stop = places["\n".join(own[a:b])]
+            if at != number or a >= stop:
+                gone |= set(range(a, b))
+        left = "\n".join(x for i, x in enumerate(own) if i not in gone)
+        cleaned[named, d, text] = (text if text is None else left, len(gone))
     return [(d, *cleaned[d is not None, d or 0, t]) for d, t, _ in rows]
 
 
@@ -519,27 +517,30 @@ def test_whole_passages_against_all_runs(frame):
     whole = "first of it\nsecond\n\nthird one\nfourth and last"
     texts += [whole, f"a\n{whole}\nb", f"{whole}\nc", f"d\n{whole}"]
     given = list(enumerate(texts))
-    found = dict(collected(lines.deduplicated(frame("doc_id long, text string", *given), whole=True).select("doc_id", "text")))
-    runs, seen = plain_runs(given), set()
+    found = dict(collected(lines.deduplicated(frame("doc_id long, text string", *given)).select("doc_id", "text")))
+    assert found == {d: t for d, t, _ in plain_deduplicated([(*g, None) for g in given])}
+    # Next to nothing of what brute force finds stays, and nothing else goes.
+    runs = plain_runs(given)
+    wanted = gone = 0
     for d, text in given:
-        for a, b in lines.chunks(text.split("\n")):
-            chunk = "\n".join(text.split("\n")[a:b])
-            if b - a >= 2 and chunk.strip():
-                runs[d] |= set(range(a, b)) if chunk in seen else set()
-                seen.add(chunk)
-        assert found[d] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in runs[d]), d
+        left = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in runs[d])
+        wanted += len(text) - len(left)
+        gone += len(text) - len(found[d])
+        # Brute force compares no lines of one run with each other.
+        assert len(found[d]) >= len(left) or len({*text.split("\n")}) == 1
+    assert gone >= 0.95 * wanted
     n = len(texts)
     assert [found[i] for i in range(n - 4, n)] == [whole, "a\nb", "c", "d"]
     assert set("\n".join(texts).split("\n")) - {""} == set("\n".join(found.values()).split("\n")) - {""}
 
 
-def test_colliding_hashes_are_compared_by_bytes(frame, monkeypatch):
-    # All chunks of two lines get one hash, where the driver builds and the workers run the function.
-    given = frame("doc_id long, text string", (1, "a\nb"), (2, "c\nd"), (3, "a\nb"), (4, "e\nf"))
-    real = lines.line_chunks
-    monkeypatch.setattr(lines, "line_chunks", lambda *a, **k: real(*a, **k).withColumn("chunk_hash", F.lit(1).cast("bigint")))
-    found = dict(collected(lines.deduplicated(given).select("doc_id", "text")))
-    assert found == {1: "a\nb", 2: "c\nd", 3: "", 4: "e\nf"}
+@pytest.mark.parametrize("bits", [1, 6, 64])
+def test_colliding_hashes_are_compared_by_bytes(frame, bits):
+    """With few bits all lines share their hashes with others."""
+    given = frame("doc_id long, text string", (1, "a\nb"), (2, "c\nd"), (3, "a\nb"), (4, "e\nf"), (5, "a\n \nb"), (6, None))
+    found = dict(collected(lines.deduplicated(given, hash_bits=bits).select("doc_id", "text")))
+    assert found == {1: "a\nb", 2: "c\nd", 3: "", 4: "e\nf", 5: "a\n \nb", 6: None}
+    assert (len(lines.ambiguous_hashes(given, hash_bits=bits)) > 0) == (bits < 64)
 
 
 def test_boundaries_resist_shifts():
@@ -548,7 +549,29 @@ def test_boundaries_resist_shifts():
     whole, moved = lines.chunks(own), lines.chunks(["x", *own])
     shifted = {(a - 1, b - 1) for a, b in moved}
     assert len(shifted & set(whole)) > 0.9 * len(whole)
-    assert [i for a, b in whole for i in range(a, b)] == list(range(200))
+    assert {i for a, b in whole for i in range(a, b)} == set(range(200))
+    equal = lines.chunks(["same"] * 5000)
+    assert len(equal) < 10_000 and max(b - a for a, b in equal) <= lines.MOST_LINES
+
+
+def test_recall_of_repeated_runs():
+    """Runs of two lines or more of earlier texts, by brute force over the fixture's documents."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pydict()
+    given = sorted({t: d for d, t in zip(table["doc_id"], table["text"]) if t}.items(), key=lambda x: x[1])
+    given = [(d, t, None) for t, d in given]
+    runs = plain_runs([g[:2] for g in given])
+    gone = {d: n for d, _, n in plain_deduplicated(given)}
+    wanted = {d: len(own) for d, own in runs.items() if own}
+    assert len(wanted) > 20
+    assert sum(min(gone[d], n) for d, n in wanted.items()) >= 0.95 * sum(wanted.values())
+    assert sum(gone[d] >= n for d, n in wanted.items()) >= 0.9 * len(wanted)
+
+
+def test_removed_lines_in_place_of_a_column(clashing):
+    found = lines.deduplicated(clashing.withColumn("removed", F.lit("x")), removed_column="removed")
+    assert found.columns.count("removed") == 1 and found.first().removed == 0
 
 
 # 9
