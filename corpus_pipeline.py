@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without multi-line chunks that stand elsewhere before; ``n_chars`` follows the text."""
+    """All documents, without passages of lines that stand elsewhere before; ``n_chars`` follows the text."""
     return lines.deduplicated(docs, count_column="n_chars")
 
 
