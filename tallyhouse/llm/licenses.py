@@ -2,7 +2,7 @@
 
 Hashes of all k-grams of words are joined to their positions in templates; matches are counted by diagonal (document
 position minus template position); neighbouring diagonals are merged into spans; matches are verified word by word, and
-merged spans by the words that tell a license from its relatives.
+each merged span is held against its template: words that alter or name a license must stand where the template has them.
 """
 
 from __future__ import annotations
@@ -43,15 +43,28 @@ MAX_SHIFT = 3
 #: Share of a template's words that a span must show to give its label.
 MIN_SCORE = 0.6
 
-_NC = ("noncommercial", "non commercial", "nc")
-_SA = ("sharealike", "share alike", "sa")
-_ND = ("noderivatives", "noderivs", "no derivatives", "no derivs", "nd")
-#: Fixed values, one or two words each: a span of the template must show one of the first and none of the second.
+#: Spellings, of one or two words, that count as one word when a span is held against its template.
+SPELLINGS = {
+    "nc": "noncommercial",
+    "non commercial": "noncommercial",
+    "sa": "sharealike",
+    "share alike": "sharealike",
+    "nd": "noderivatives",
+    "noderivs": "noderivatives",
+    "no derivs": "noderivatives",
+    "no derivatives": "noderivatives",
+}
+#: Words that alter what a license grants; a span shows them where its template does, and nowhere else.
+ALTERING = (
+    "not", "no", "non", "never", "nor", "neither", "cannot", "without", "except", "unless",
+    "prohibited", "forbidden", "denied", "revoked", "noncommercial", "sharealike", "noderivatives",
+)
+#: Further such words of one template, as those that name a relative or another version of it.
 TELLING = {
-    "apache-2": (("version 2", "license 2", "v2"), ()),
-    "gpl": ((), ("lesser general", "library general", "affero general")),
-    "cc-by-nc": (_NC, _SA + _ND),
-    "cc-by": ((), _NC + _SA + _ND),
+    "apache-2": ("2",),
+    "gpl": ("lesser", "library", "affero"),
+    "mit": ("only",),
+    "bsd": ("only",),
 }
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,19 +128,15 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _grams(words: Column, gram: int) -> Column:
-    """All runs of ``gram`` words, joined by blanks; fewer words have none."""
-    runs = F.transform(words, lambda w, i: F.concat_ws(" ", w, *(F.get(words, i + k) for k in range(1, gram))))
-    return F.slice(runs, 1, F.greatest(F.size(words) - (gram - 1), F.lit(0)))
-
-
 def template_grams(spark: SparkSession, templates: dict[str, str] = TEMPLATES, gram: int = GRAM) -> DataFrame:
-    """``gram_hash, template_gram, template, size, at``: as many rows as the templates have words."""
+    """``gram_hash, gram_words, template, size, at``: as many rows as the templates have words."""
     rows = F.array(
-        *(F.struct(F.lit(k).alias("template"), F.split(F.lit(v), " ").alias("words")) for k, v in templates.items())
+        *(F.struct(F.lit(k).alias("template"), F.split(F.lit(v), " ").alias("body")) for k, v in templates.items())
     )
-    grams = spark.range(1, numPartitions=1).select(F.inline(rows)).select("template", F.size("words").alias("size"), F.posexplode(_grams(F.col("words"), gram)).alias("at", "template_gram"))
-    return grams.withColumn("gram_hash", F.xxhash64("template_gram"))
+    bodies = spark.range(1, numPartitions=1).select(F.inline(rows)).withColumn("size", F.size("body")).where(F.col("size") >= gram)
+    places = bodies.select("template", "size", "body", F.explode(F.sequence(F.lit(0), F.col("size") - gram)).alias("at"))
+    run = [F.get("body", F.col("at") + k) for k in range(gram)]
+    return places.select("template", "size", "at", F.array(*run).alias("gram_words"), F.xxhash64(*run).alias("gram_hash"))
 
 
 def spans(
@@ -138,96 +147,131 @@ def spans(
     min_score: float = MIN_SCORE,
     id_column: str = "doc_id",
     text_column: str = "text",
-    telling: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = TELLING,
+    altering: tuple[str, ...] = ALTERING,
+    telling: dict[str, tuple[str, ...]] = TELLING,
 ) -> DataFrame:
     """``doc_id, text_key, template, first, last, score``: all verified spans of each template in each text.
 
     The hashes of all grams of all texts meet those of the template grams; templates are a parameter, so their rows are
     broadcast, and only matches are shuffled. Matches are verified by their words. Votes of a diagonal are its distinct
     template positions; diagonals at most ``max_shift`` apart are one span. Its score is the share of the template's words
-    that lie in a verified gram. Spans without a word that ``telling`` wants, or with one that it bars, are another license.
+    that lie in a verified gram. Spans that :func:`_altered` finds changed in a word that matters are dropped.
     """
     given = projected(documents, doc_id=id_column, text=text_column)
-    normal = given.select("doc_id", _key(F.col("text")).alias("text_key"), _normal(F.col("text")).alias("normal"))
-    words = normal.select("doc_id", "text_key", _words(F.col("normal")).alias("words"))
-    grams = words.select("doc_id", "text_key", F.posexplode(_grams(F.col("words"), gram)).alias("place", "gram"))
+    words = given.select("doc_id", _key(F.col("text")).alias("text_key"), F.split(F.trim(_normal(F.col("text"))), " ").alias("words"))
+    # The outer form, as Spark would else cut the text into words once more to filter those without grams.
+    starts = F.when(F.size("words") >= gram, F.sequence(F.lit(0), F.size("words") - gram))
+    grams = words.select("doc_id", "text_key", "words", F.explode_outer(starts).alias("place"))
+    run = [F.get("words", F.col("place") + k) for k in range(gram)]
     table = template_grams(documents.sparkSession, templates, gram)
-    hit = grams.join(F.broadcast(table), (F.xxhash64("gram") == F.col("gram_hash")) & (F.col("gram") == F.col("template_gram")))
-    # Identical rows, and grams that repeat, give one vote for each place and template position.
-    votes = hit.select("doc_id", "text_key", "template", "place", "at", "size").distinct()
+    alike = F.col("gram_hash") == F.xxhash64(*run)
+    for k, word in enumerate(run):
+        alike = alike & (F.get("gram_words", F.lit(k)) == word)
+    hit = grams.join(F.broadcast(table), alike)
+    begin = F.greatest(F.col("place") - F.col("at"), F.lit(0))
     key = ["doc_id", "text_key", "template"]
-    diagonals = votes.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*key, "diagonal").agg(
-        F.collect_set("at").alias("ats"),  # at most the template's length
-        F.min("at").alias("before"),
-        F.min(F.col("size") - gram - F.col("at")).alias("after"),
-        F.min("place").alias("first"),
-        F.max("place").alias("last"),
-        F.max("size").alias("size"),
+    # Identical rows, and grams that repeat, give one vote for each place and template position.
+    diagonals = (
+        hit.withColumn("diagonal", F.col("place") - F.col("at"))
+        # The words below the whole template on this diagonal, and one more: the same for all its matches.
+        .withColumn("below", F.slice("words", begin + 1, F.col("size") + 1))
+        .groupBy(*key, "diagonal")
+        .agg(
+            F.collect_set("at").alias("ats"),  # at most the template's length
+            F.first("below").alias("below"),
+            F.min("place").alias("first"),
+            F.max("place").alias("last"),
+            F.max("size").alias("size"),
+        )
     )
-    found = _merged(diagonals, key, gram, max_shift).where(F.col("score") >= min_score)
-    ruled = {t: rule for t, rule in telling.items() if t in templates}
-    if ruled:
-        found = _told(found, _marks(normal, sorted({p for rule in ruled.values() for p in rule[0] + rule[1]})), ruled)
-    return found.select(*key, "first", "last", "score")
-
+    telltale = {t: sorted({*altering, *telling.get(t, ())}) for t in templates}
+    marked = diagonals.withColumn("marks", _marks(telltale)).drop("below")
+    found = _merged(marked, key, gram, max_shift).where(F.col("score") >= min_score)
+    return found.where(~_altered(templates, telltale, gram)).select(*key, "first", "last", "score")
 
-def _marks(normal: DataFrame, phrases: list[str]) -> DataFrame:
-    """``mark_id, mark_key, phrase, mark``: all places of phrases of one or two words; texts without any are not cut into words."""
-    # One reference: a filter that moves below the normal form computes it anew for each.
-    some = F.col("normal").rlike(f" ({'|'.join(phrases)}) ")
-    words = normal.where(some).select("doc_id", "text_key", _words(F.col("normal")).alias("words"))
 
-    def here(word: Column, after: Column) -> Column:
-        two = F.concat_ws(" ", word, after)
-        return F.array_compact(F.array(F.when(word.isin(phrases), word), F.when(two.isin(phrases) & (two != word), two)))
+def _spelled(words: Column) -> Column:
+    """Words with the ``SPELLINGS`` of one word replaced, those of two words in the place of the first."""
 
-    def placed(own: Column, i: Column) -> Column:
-        return F.transform(own, lambda p: F.struct(p.alias("phrase"), i.cast("bigint").alias("mark")))
+    def canonical(word: Column, i: Column) -> Column:
+        pair = F.concat_ws(" ", word, F.get(words, i + 1))
+        result = word
+        for spelling, whole in SPELLINGS.items():
+            result = F.when((pair if " " in spelling else word) == spelling, F.lit(whole)).otherwise(result)
+        return result
 
-    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), here)
-    marks = words.select("doc_id", "text_key", F.inline(F.flatten(F.transform(pairs, placed))))
-    return marks.withColumnsRenamed({"doc_id": "mark_id", "text_key": "mark_key"}).distinct()
+    return F.transform(words, canonical)
 
 
-def _told(found: DataFrame, marks: DataFrame, ruled: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
-    """Spans that show a wanted phrase, if any is, and no barred one, from where the template would start to where it would end."""
+def _marks(telltale: dict[str, list[str]]) -> Column:
+    """``place, word`` of all telltale words below the template on a diagonal."""
+    begin = F.greatest(F.col("diagonal"), F.lit(0))
+    placed = F.transform(_spelled(F.col("below")), lambda w, i: F.struct((begin + i).alias("place"), w.alias("word")))
+    inside = F.col("diagonal") + F.col("size")
 
-    def named(which: int) -> Column:
+    def telling(mark: Column) -> Column:
         hit = F.lit(False)
-        for template, rule in ruled.items():
-            if rule[which]:
-                hit = hit | ((F.col("template") == template) & F.col("phrase").isin(*rule[which]))
-        return hit
-
-    stop = F.col("mark") + F.size(F.split("phrase", " ")) - 1
-    inside = (F.col("mark") >= F.col("first") - F.col("before")) & (stop <= F.col("last") + F.col("after"))
-    same = F.col("doc_id").eqNullSafe(F.col("mark_id")) & (F.col("text_key") == F.col("mark_key"))
-    judged = (
-        found.join(marks, same & inside & (named(0) | named(1)), "left")
-        .groupBy(*found.columns)
-        .agg(F.max(named(0)).alias("wanted"), F.max(named(1)).alias("barred"))
-    )
-    needs = F.col("template").isin([t for t, rule in ruled.items() if rule[0]])
-    return judged.where((~needs | F.coalesce("wanted", F.lit(False))) & ~F.coalesce("barred", F.lit(False))).drop("wanted", "barred")
+        for template, words in telltale.items():
+            hit = hit | ((F.col("template") == template) & mark["word"].isin(words))
+        return hit & (mark["place"] < inside)
+
+    return F.filter(placed, telling)
+
+
+def _altered(templates: dict[str, str], telltale: dict[str, list[str]], gram: int) -> Column:
+    """Whether a span and its template differ in a telltale word.
+
+    Such a word of the text, from where the template would start to where it would end, must stand in the template on one
+    of the diagonals from the span's first to its last; one of the template from a gram before the span's first verified
+    word to a gram after its last must stand in the text likewise. So a part of a license passes, one with such a word put in, left out or
+    replaced does not.
+    """
+    entries = []
+    for template, words in telltale.items():
+        body = templates[template].split(" ")
+        at = [F.struct(F.lit(i).alias("at"), F.lit(w).alias("word")) for i, w in enumerate(body) if w in words]
+        entries += [F.lit(template), F.array(*at) if at else F.array().cast("array<struct<at:int,word:string>>")]
+    own = F.element_at(F.create_map(*entries), F.col("template"))
+
+    def meets(mark: Column, tell: Column) -> Column:
+        return (mark["word"] == tell["word"]) & (mark["place"] - tell["at"]).between(F.col("low"), F.col("high"))
+
+    added = F.exists("marks", lambda m: ~F.exists(own, lambda t: meets(m, t)))
+
+    def wanted(tell: Column) -> Column:
+        return tell["at"].between(F.col("first_at") - gram, F.col("last_at") + gram)
+
+    lost = F.exists(own, lambda t: wanted(t) & ~F.exists("marks", lambda m: meets(m, t)))
+    return added | lost
 
 
 def _merged(diagonals: DataFrame, key: list[str], gram: int, max_shift: int) -> DataFrame:
-    """Neighbouring diagonals as one span, with the number of template words ``before`` and ``after`` it."""
+    """Neighbouring diagonals, from ``low`` to ``high``, as one span with its telltale words."""
     order = Window.partitionBy(*key).orderBy("diagonal")
     split = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > max_shift).cast("int"), F.lit(0))
     numbered = diagonals.withColumn("starts", split).withColumn("span", F.sum("starts").over(order))
     covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (gram - 1)))))
     whole = numbered.withColumn("covered", covered).groupBy(*key, "span").agg(
         # Unions of positions within the template: bounded by the diagonals of one text within the shift.
-        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"),
+        F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"),
+        F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"),
         F.min("first").alias("first"),
         (F.max("last") + gram - 1).alias("last"),
         F.max("size").alias("size"),
-        F.min("before").alias("before"),
-        F.min("after").alias("after"),
+        F.min("diagonal").alias("low"),
+        F.max("diagonal").alias("high"),
+    )
+    return whole.select(
+        *key,
+        "first",
+        "last",
+        F.round(F.size("covered") / F.col("size"), 6).alias("score"),
+        "marks",
+        "low",
+        "high",
+        F.array_min("covered").alias("first_at"),
+        F.array_max("covered").alias("last_at"),
     )
-    score = F.round(F.col("n") / F.col("size"), 6).alias("score")
-    return whole.select(*key, "first", "last", score, "before", "after")
 
 
 def scanned(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import GRAM, MAX_SHIFT, MIN_SCORE, PHRASES, TEMPLATES
+from .licenses import ALTERING, GRAM, MAX_SHIFT, MIN_SCORE, PHRASES, SPELLINGS, TELLING, TEMPLATES
 from .quality import MAX_HOST_RATE, MAX_PRIOR_WEIGHT
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,10 +137,42 @@ starts AS (
     THEN 1 ELSE 0 END AS start FROM votes
 ),
 numbered AS (SELECT *, sum(start) OVER (PARTITION BY r, template ORDER BY diagonal RANGE UNBOUNDED PRECEDING) AS span FROM starts),
-covered AS (SELECT r, template, size, span, unnest(range(pos, pos + {GRAM})) AS p FROM numbered),
-spans AS (SELECT r, template, span, round(count(DISTINCT p) / max(size), 6) AS score FROM covered GROUP BY r, template, span),
+covered AS (SELECT r, template, size, span, diagonal, unnest(range(pos, pos + {GRAM})) AS p FROM numbered),
+spans AS (
+  SELECT r, template, span, round(count(DISTINCT p) / max(size), 6) AS score, max(size) AS size, min(diagonal) AS low,
+    max(diagonal) AS high, min(p) AS first_at, max(p) AS last_at
+  FROM covered GROUP BY r, template, span HAVING round(count(DISTINCT p) / max(size), 6) >= {MIN_SCORE}
+),
+spelled AS (SELECT spelling, whole FROM (VALUES {_rows(SPELLINGS)}) v(spelling, whole)),
+altering AS (
+  SELECT template, word FROM templates, (VALUES {", ".join(f"('{w}')" for w in ALTERING)}) a(word)
+  UNION SELECT template, word FROM (VALUES {", ".join(f"('{t}', '{w}')" for t, ws in TELLING.items() for w in ws)}) t(template, word)
+),
+below AS (
+  SELECT r, template, span, low, high, words[i + 1] AS word, words[i + 1] || ' ' || words[i + 2] AS pair, i AS place
+  FROM (SELECT s.*, d.words, unnest(range(greatest(low, 0), least(high + size, len(d.words)))) AS i FROM spans s JOIN d USING (r))
+),
+shown AS (
+  SELECT r, template, span, low, high, place, coalesce(two.whole, one.whole, word) AS word
+  FROM below LEFT JOIN spelled one ON one.spelling = word LEFT JOIN spelled two ON two.spelling = pair
+),
+marks AS (SELECT shown.* FROM shown JOIN altering USING (template, word)),
+own AS (
+  SELECT template, word, i - 1 AS pos FROM (SELECT template, words, unnest(range(1, len(words) + 1)) AS i, words[i] AS word FROM templates)
+  JOIN altering USING (template, word)
+),
+altered AS (
+  SELECT r, template, span FROM marks m WHERE NOT EXISTS (
+    SELECT 1 FROM own o WHERE o.template = m.template AND o.word = m.word AND m.place - o.pos BETWEEN m.low AND m.high)
+  UNION
+  SELECT r, s.template, span FROM spans s JOIN own o ON o.template = s.template AND o.pos BETWEEN s.first_at - {GRAM} AND s.last_at + {GRAM}
+  WHERE NOT EXISTS (
+    SELECT 1 FROM marks m WHERE m.r = s.r AND m.template = s.template AND m.span = s.span AND m.word = o.word
+      AND m.place - o.pos BETWEEN s.low AND s.high)
+),
 best AS (
-  SELECT r, max(score) AS score, array_agg(DISTINCT template) AS labels FROM spans WHERE score >= {MIN_SCORE} GROUP BY r
+  SELECT r, max(score) AS score, array_agg(DISTINCT template) AS labels
+  FROM (SELECT * FROM spans ANTI JOIN altered USING (r, template, span)) GROUP BY r
 )
 SELECT doc_id, len(d.words)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, first_pos::BIGINT AS first_word,
   last_pos::BIGINT AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

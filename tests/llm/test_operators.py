@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -20,6 +21,7 @@ from tallyhouse.llm import (
     html_extraction,
     licenses,
     lines,
+    oracles,
     packing,
     quality,
     simhash,
@@ -436,6 +438,39 @@ def test_relatives_of_a_license_are_told_apart(frame):
     assert found == {**dict(enumerate(cases.values())), None: "cc-by"}
 
 
+#: Notices and licenses with the label that the method finds; altered and negated ones have none.
+NOTICES = {
+    licenses.TEMPLATES["mit"]: "mit",
+    licenses.TEMPLATES["mit"].replace("without restriction", "for noncommercial purposes only"): "",
+    licenses.TEMPLATES["mit"].replace("without restriction", "with restriction"): "",
+    licenses.TEMPLATES["mit"].replace("documentation files", "documentation files and odd data"): "mit",
+    " ".join(licenses.TEMPLATES["mit"].split()[:40]): "mit",
+    licenses.TEMPLATES["bsd"].replace("are permitted", "are not permitted"): "",
+    licenses.TEMPLATES["bsd"].replace("with or without", "with"): "",
+    licenses.TEMPLATES["bsd"] + " this is not all": "bsd",
+    licenses.TEMPLATES["gpl"].replace("you can", "you can not"): "",
+    licenses.TEMPLATES["gpl"].replace("version 3", "version 2"): "gpl",
+    licenses.TEMPLATES["apache-2"].replace("except in", "in"): "",
+    licenses.TEMPLATES["cc-by"].replace("is licensed", "is not licensed"): "",
+    licenses.TEMPLATES["cc-by"].replace("this work is", "all images are"): "cc-by",
+    licenses.TEMPLATES["cc-by-nc"].replace("noncommercial", "non commercial"): "cc-by-nc",
+    licenses.TEMPLATES["cc-by-nc"].replace("noncommercial", "nc sa"): "",
+    "not a license without words": "",
+}
+
+
+def test_altered_licenses_have_no_label(frame, tmp_path):
+    """Also against the SQL, as the test tables hold phrases but no license texts."""
+    rows = [*enumerate(NOTICES), (90, None), (91, ""), (92, licenses.TEMPLATES["mit"] + " x " * 20 + licenses.TEMPLATES["gpl"].upper())]
+    given = frame("doc_id long, text string", *rows).coalesce(1)
+    found = licenses.scanned(given, phrases={"no such phrase": "x"}).select("doc_id", "labels")
+    assert dict(collected(found)) == {**dict(enumerate(NOTICES.values())), 90: "", 91: "", 92: "gpl,mit"}
+    given.write.parquet(str(tmp_path / "documents"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+        same(collected(licenses.scanned(given)), db.execute(oracles.SQL["op7_license_scans"]).fetchall())
+
+
 def test_every_span_of_a_license_is_returned(frame):
     size = len(licenses.TEMPLATES["bsd"].split())
     text = "x " + " notice of another ".join([licenses.TEMPLATES["bsd"]] * 5)
