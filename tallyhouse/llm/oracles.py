@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licenses import ALTERING, GRAM, MAX_SHIFT, MIN_SCORE, PHRASES, SPELLINGS, TELLING, TEMPLATES
-from .quality import MAX_HOST_RATE, MAX_PRIOR_WEIGHT
+from .quality import MAX_HOST_RATE, MAX_PRIOR_WEIGHT, MAX_REPEATED_PERCENT, MIN_WORDS, RULES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SEARCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -55,26 +55,37 @@ measured AS (
     coalesce(twice.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN covered USING (r) LEFT JOIN twice USING (r)
 ),
-judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+judged AS (
+  SELECT source,
+    unnest([{", ".join(f"{{'rule': '{r}', 'bad': {rule}}}" for r, rule in RULES.items())}]) AS outcome
+  FROM measured
+),
 hosts AS (
-  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged WHERE source IS NOT NULL GROUP BY source
+  SELECT source, outcome.rule AS rule, count(*) AS n, count(*) FILTER (outcome.bad) AS failed
+  FROM judged WHERE source IS NOT NULL GROUP BY ALL
 ),
 totals AS (
-  SELECT count(*) AS hosts, sum(n) AS docs, sum(failed) / sum(n) AS mean, sum(failed * failed / n) AS squares,
-    sum(n * n) AS sizes FROM hosts
+  SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(failed) / sum(n) AS mean, sum(failed * failed / n) AS squares,
+    sum(n * n) AS sizes FROM hosts GROUP BY rule
 ),
 parts AS (
   SELECT *, mean * (1 - mean) AS chance,
     (squares - docs * mean * mean - (hosts - 1) * mean * (1 - mean)) / (docs - sizes / docs) AS between_hosts FROM totals
 ),
 prior AS (
-  SELECT mean, CASE WHEN hosts > 1 AND between_hosts > 0
+  SELECT rule, mean, CASE WHEN hosts > 1 AND between_hosts > 0
     THEN greatest(1.0, least({MAX_PRIOR_WEIGHT}, chance / between_hosts - 1)) ELSE {MAX_PRIOR_WEIGHT} END AS weight FROM parts
 ),
-rates AS (SELECT source, round((failed + weight * mean) / (n + weight), 9) AS host_rate FROM hosts, prior)
+rates AS (SELECT source, rule, round((failed + weight * mean) / (n + weight), 9) AS rate FROM hosts JOIN prior USING (rule)),
+verdicts AS (
+  SELECT source, {", ".join(f"max(rate) FILTER (rule = '{r}') AS rate_{r}" for r in RULES)},
+    concat_ws(',', {", ".join(f"max(CASE WHEN rule = '{r}' AND rate > {MAX_HOST_RATE} THEN '{r}' END)" for r in RULES)}) AS host_rules
+  FROM rates GROUP BY source
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(host_rate <= {MAX_HOST_RATE}, true) AS kept, host_rate
-FROM judged LEFT JOIN rates USING (source)
+  NOT base_failed AND coalesce(host_rules, '') = '' AS kept, {", ".join(f"rate_{r}" for r in RULES)}, coalesce(host_rules, '') AS host_rules
+FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM measured)
+LEFT JOIN verdicts USING (source)
 """
 
 SQL["op5_benchmark_decontamination"] = rf"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_rows, projected
@@ -20,6 +20,16 @@ MAX_PRIOR_WEIGHT = 1000.0
 #: Hosts, of some hundred bytes at most, that are broadcast.
 BROADCAST_HOSTS = 100_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_SHORT, _REPETITIVE = f"n_words < {MIN_WORDS}", f"100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words"
+#: Rules counted by host, in SQL over ``COUNTS``: what a document fails. ``base`` decides on documents too, the others,
+#: a symbol or a repeated line for every ten words, only on hosts that show them throughout.
+RULES = {
+    "base": f"{_SHORT} OR {_REPETITIVE}",
+    "short": _SHORT,
+    "repetitive": _REPETITIVE,
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "10 * n_dup_lines > n_words",
+}
 
 
 def repeated_words(words: list[bytes], size: int = 3) -> int:
@@ -75,44 +85,53 @@ def measured(
     kinds = dict(documents.dtypes)
     schema = f"doc_id {kinds[id_column]}, host {kinds[host_column]}, " + ", ".join(f"{c} bigint" for c in COUNTS)
     return map_rows(projected(documents, doc_id=id_column, host=host_column, text=text_column), rows, schema).withColumn(
-        "base_failed",
-        (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")),
+        "base_failed", F.expr(RULES["base"])
     )
 
 
-def host_rates(rows: DataFrame) -> DataFrame:
-    """``host, n_docs, n_failed, host_rate`` of ``measured`` rows with a host.
+def host_rates(rows: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """``host, n_docs``, ``failed_R`` and ``rate_R`` for each rule R, and ``host_rules`` of ``measured`` rows with a host.
 
-    The beta prior has the documents' failure rate as mean; its weight comes from the moments of the host rates: their
-    variance beyond binomial chance. Rates are ``(n_failed + weight * mean) / (n_docs + weight)``.
+    Each rule has a beta prior of its own: the documents' failure rate is its mean; its weight comes from the moments of
+    the host rates: their variance beyond binomial chance. Rates are ``(failed + weight * mean) / (n_docs + weight)``.
+    ``host_rules`` names the rules, in the order of ``RULES``, whose rate is above ``max_host_rate``; a host with any goes.
     """
     hosts = (
         rows.where("host IS NOT NULL")
         .groupBy("host")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("n_failed"))
+        .agg(
+            F.count(F.lit(1)).alias("n_docs"),
+            *(F.sum(F.expr(f"cast({rule} AS bigint)")).alias(f"failed_{r}") for r, rule in RULES.items()),
+        )
     )
     totals = hosts.agg(
         F.count(F.lit(1)).alias("hosts"),
         F.sum("n_docs").alias("docs"),
-        F.sum("n_failed").alias("failed"),
-        # Decimal sums do not depend on the order of the rows.
-        F.sum((F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).cast("decimal(38,12)")).alias("squares"),
         F.sum((F.col("n_docs") * F.col("n_docs")).cast("decimal(38,0)")).alias("sizes"),
+        *(F.sum(f"failed_{r}").alias(f"failed_{r}") for r in RULES),
+        # Decimal sums do not depend on the order of the rows.
+        *(F.sum((F.col(f"failed_{r}") * F.col(f"failed_{r}") / F.col("n_docs")).cast("decimal(38,12)")).alias(f"squares_{r}") for r in RULES),
     )
-    mean = F.col("failed") / F.col("docs")
-    # Variance components: sum n (p - mean)^2 = (hosts - 1) mean (1 - mean) + (N - sum n^2 / N) between.
-    chance = mean * (1 - mean)
-    spread = F.col("squares").cast("double") - F.col("docs") * mean * mean
-    between = (spread - (F.col("hosts") - 1) * chance) / (F.col("docs") - F.col("sizes").cast("double") / F.col("docs"))
-    weight = F.when((F.col("hosts") > 1) & (between > 0), F.greatest(F.lit(1.0), F.least(F.lit(MAX_PRIOR_WEIGHT), chance / between - 1)))
-    prior = totals.select(mean.alias("mean"), F.coalesce(weight, F.lit(MAX_PRIOR_WEIGHT)).alias("weight"))
+    prior = []
+    for r in RULES:
+        mean = F.col(f"failed_{r}") / F.col("docs")
+        # Variance components: sum n (p - mean)^2 = (hosts - 1) mean (1 - mean) + (N - sum n^2 / N) between.
+        chance = mean * (1 - mean)
+        spread = F.col(f"squares_{r}").cast("double") - F.col("docs") * mean * mean
+        between = (spread - (F.col("hosts") - 1) * chance) / (F.col("docs") - F.col("sizes").cast("double") / F.col("docs"))
+        weight = F.when((F.col("hosts") > 1) & (between > 0), F.greatest(F.lit(1.0), F.least(F.lit(MAX_PRIOR_WEIGHT), chance / between - 1)))
+        prior += [mean.alias(f"mean_{r}"), F.coalesce(weight, F.lit(MAX_PRIOR_WEIGHT)).alias(f"weight_{r}")]
+
+    def rate(r: str) -> Column:
+        weight = F.col(f"weight_{r}")
+        return F.round((F.col(f"failed_{r}") + weight * F.col(f"mean_{r}")) / (F.col("n_docs") + weight), 9)
+
     # One row: the join has a side of proven size.
-    return hosts.join(F.broadcast(prior)).select(
-        "host",
-        "n_docs",
-        "n_failed",
-        F.round((F.col("n_failed") + F.col("weight") * F.col("mean")) / (F.col("n_docs") + F.col("weight")), 9).alias("host_rate"),
+    rated = hosts.join(F.broadcast(totals.select(*prior))).select(
+        "host", "n_docs", *(f"failed_{r}" for r in RULES), *(rate(r).alias(f"rate_{r}") for r in RULES)
     )
+    above = F.array_compact(F.array(*(F.when(F.col(f"rate_{r}") > max_host_rate, F.lit(r)) for r in RULES)))
+    return rated.withColumn("host_rules", F.array_join(above, ","))
 
 
 def judged(
@@ -122,19 +141,20 @@ def judged(
     text_column: str = "text",
     host_column: str = "source",
 ) -> DataFrame:
-    """``doc_id, host``, counts, ``base_failed``, ``host_rate`` and ``kept`` for every row.
+    """``doc_id, host``, counts, ``base_failed``, ``rate_R`` for each rule R, ``host_rules`` and ``kept`` for every row.
 
-    ``kept`` is false for a failed document, and for every document of a host whose shrunk failure rate is above
-    ``max_host_rate``. Failures are counted by host with map-side combine; the verdicts, one row for each host, are
+    ``kept`` is false for a failed document, and for every document of a host that fails any of ``RULES`` at a shrunk rate
+    above ``max_host_rate``; ``host_rules`` names these rules. Failures of each rule are counted by host with map-side combine; the verdicts, one row for each host, are
     joined back on the host, whose hot side adaptive execution can split. A null host has no rate and no verdict. Null
     and empty texts have no words and fail. Repeated rows each count. Empty tables give no rows.
     """
     rows = durable(measured(documents, id_column, text_column, host_column))
-    rates = host_rates(rows).select(F.col("host").alias("rated_host"), "host_rate")
+    rates = host_rates(rows, max_host_rate).withColumnRenamed("host", "rated_host").drop("n_docs", *(f"failed_{r}" for r in RULES))
     return (
         rows.join(rates, F.col("host") == F.col("rated_host"), "left")
         .drop("rated_host")
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False)))
+        .withColumn("host_rules", F.coalesce("host_rules", F.lit("")))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("host_rules") == ""))
     )
 
 
@@ -148,7 +168,7 @@ def kept_documents(documents: DataFrame, **options) -> DataFrame:
     host, text = options.get("host_column", "source"), options.get("text_column", "text")
     limit = options.get("max_host_rate", MAX_HOST_RATE)
     rows = measured(documents, options.get("id_column", "doc_id"), text, host)
-    rejected = durable(host_rates(rows).where(F.col("host_rate") > limit).select(F.col("host").alias("_rejected_host")))
+    rejected = durable(host_rates(rows, limit).where("host_rules != ''").select(F.col("host").alias("_rejected_host")))
     if rejected.count() <= BROADCAST_HOSTS:
         rejected = F.broadcast(rejected)
 

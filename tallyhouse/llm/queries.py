@@ -45,7 +45,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of every document and the verdict of its host."""
     return quality.judged(table(spark, sf_dir, "documents")).select(
-        "doc_id", *quality.COUNTS, "base_failed", "kept", "host_rate"
+        "doc_id", *quality.COUNTS, "base_failed", "kept", *(f"rate_{r}" for r in quality.RULES), "host_rules"
     )
 
 

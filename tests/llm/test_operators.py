@@ -128,6 +128,30 @@ def test_bad_hosts_go_and_good_ones_stay(frame):
     same(collected(quality.kept_documents(df).select("doc_id")), [(i,) for i in kept])
 
 
+def test_hosts_fail_by_rule(frame, tmp_path):
+    """Hosts that fail one rule throughout go for that rule, also where no document of theirs fails alone; against the SQL."""
+    plain = " ".join(f"w{i}" for i in range(60))
+    loud = " ".join(f"w{i} #" if i % 3 == 0 else f"w{i}" for i in range(60))
+    looped = "a b c d e f " * 20
+    stuttering = "\n".join(f"x{i // 8 * 8}" if i % 8 < 3 else f"w{i}" for i in range(80))
+    given = [(i, plain, "fine") for i in range(300)] + [(1000 + i, loud if i % 20 else plain, "loud") for i in range(400)]
+    given += [(2000 + i, looped if i % 20 else plain, "looped") for i in range(400)] + [(3000 + i, stuttering, "stutters") for i in range(400)]
+    given += [(4000, plain, None), (4001, loud, "tiny"), (4002, None, "tiny"), (4002, None, "tiny")]
+    df = frame("doc_id long, text string, source string", *given).coalesce(2)
+    found = quality.judged(df)
+    verdicts = {r.host: r.host_rules for r in found.select("host", "host_rules").distinct().collect()}
+    assert verdicts == {"fine": "", "loud": "symbols", "looped": "base,repetitive", "stutters": "lines", None: "", "tiny": ""}
+    kept = found.where("kept").select("doc_id")
+    same(collected(kept), [(i,) for i in (*range(300), 4000, 4001)])
+    same(collected(quality.kept_documents(df).select("doc_id")), collected(kept))
+    df.write.parquet(str(tmp_path / "documents"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+        expected = db.execute(oracles.SQL["op2_quality_rules"])
+        names = [c[0] for c in expected.description]
+        same(collected(found.select(*names)), expected.fetchall())
+
+
 # 3
 
 
