@@ -17,8 +17,8 @@ MAX_REPEATED_PERCENT = 50
 MAX_HOST_RATE = 0.8
 #: Weight in documents of the prior if host rates vary no more than chance, or only one host is there.
 MAX_PRIOR_WEIGHT = 1000.0
-#: Hosts, of some hundred bytes at most, that are broadcast.
-BROADCAST_HOSTS = 100_000
+#: Bytes of host names and rates up to which they are broadcast; more are joined by a shuffle on the host.
+BROADCAST_BYTES = 32 << 20
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SHORT, _REPETITIVE = f"n_words < {MIN_WORDS}", f"100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words"
 #: Rules counted by host, in SQL over ``COUNTS``: what a document fails. ``base`` decides on documents too, the others,
@@ -144,12 +144,14 @@ def judged(
     """``doc_id, host``, counts, ``base_failed``, ``rate_R`` for each rule R, ``host_rules`` and ``kept`` for every row.
 
     ``kept`` is false for a failed document, and for every document of a host that fails any of ``RULES`` at a shrunk rate
-    above ``max_host_rate``; ``host_rules`` names these rules. Failures of each rule are counted by host with map-side combine; the verdicts, one row for each host, are
-    joined back on the host, whose hot side adaptive execution can split. A null host has no rate and no verdict. Null
-    and empty texts have no words and fail. Repeated rows each count. Empty tables give no rows.
+    above ``max_host_rate``; ``host_rules`` names them. Failures are counted by host with map-side combine; the verdicts, one
+    row for each host, are written and their size taken: up to ``BROADCAST_BYTES`` they are broadcast, so that no row moves
+    and a hot host stays spread; more are joined on the host, whose hot side adaptive execution can split. A null host has
+    no rate and no verdict. Null and empty texts have no words and fail. Repeated rows each count. Empty tables give no rows.
     """
     rows = durable(measured(documents, id_column, text_column, host_column))
     rates = host_rates(rows, max_host_rate).withColumnRenamed("host", "rated_host").drop("n_docs", *(f"failed_{r}" for r in RULES))
+    rates = _sized(durable(rates), "rated_host")
     return (
         rows.join(rates, F.col("host") == F.col("rated_host"), "left")
         .drop("rated_host")
@@ -158,19 +160,24 @@ def judged(
     )
 
 
+def _sized(hosts: DataFrame, name: str) -> DataFrame:
+    """Rows of hosts, to be broadcast if their names and 100 bytes for each row stay within ``BROADCAST_BYTES``."""
+    size = hosts.agg(F.sum(F.length(F.col(name).cast("string").cast("binary")).cast("bigint") + 100)).first()[0] or 0
+    return F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts
+
+
 def kept_documents(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that :func:`judged` keeps, with all their columns.
 
     The verdict on a row follows from its own text and its host's rate, so only the rejected hosts are joined to the
-    documents and the rows themselves are measured where they are. Rejected hosts are counted first: up to
-    ``BROADCAST_HOSTS`` are broadcast, so that no document moves; more are joined by a shuffle on the host.
+    documents and the rows themselves are measured where they are. Their size is taken first: up to
+    ``BROADCAST_BYTES`` they are broadcast, so that no document moves; more are joined by a shuffle on the host.
     """
     host, text = options.get("host_column", "source"), options.get("text_column", "text")
     limit = options.get("max_host_rate", MAX_HOST_RATE)
     rows = measured(documents, options.get("id_column", "doc_id"), text, host)
     rejected = durable(host_rates(rows, limit).where("host_rules != ''").select(F.col("host").alias("_rejected_host")))
-    if rejected.count() <= BROADCAST_HOSTS:
-        rejected = F.broadcast(rejected)
+    rejected = _sized(rejected, "_rejected_host")
 
     @F.pandas_udf("boolean")
     def passes(texts):

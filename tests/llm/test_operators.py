@@ -128,7 +128,7 @@ def test_bad_hosts_go_and_good_ones_stay(frame):
     same(collected(quality.kept_documents(df).select("doc_id")), [(i,) for i in kept])
 
 
-def test_hosts_fail_by_rule(frame, tmp_path):
+def test_hosts_fail_by_rule(frame, tmp_path, monkeypatch):
     """Hosts that fail one rule throughout go for that rule, also where no document of theirs fails alone; against the SQL."""
     plain = " ".join(f"w{i}" for i in range(60))
     loud = " ".join(f"w{i} #" if i % 3 == 0 else f"w{i}" for i in range(60))
@@ -144,6 +144,9 @@ def test_hosts_fail_by_rule(frame, tmp_path):
     kept = found.where("kept").select("doc_id")
     same(collected(kept), [(i,) for i in (*range(300), 4000, 4001)])
     same(collected(quality.kept_documents(df).select("doc_id")), collected(kept))
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", -1)
+    same(collected(quality.judged(df)), collected(found))
+    same(collected(quality.kept_documents(df).select("doc_id")), collected(kept))
     df.write.parquet(str(tmp_path / "documents"))
     with duckdb.connect() as db:
         db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
