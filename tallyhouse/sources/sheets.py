@@ -76,15 +76,36 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def columns_with_values(df: DataFrame, probe: int = 1000) -> list[str]:
+    """Names of the columns that hold any value, in order.
+
+    Each round takes a few rows with a value in any column not yet settled, from as few files as give them, and settles at
+    least one column, or ends. Only those columns are read, and the last round, which finds none, reads no row group of
+    Parquet: the footers say that the columns are null throughout. The answer is exact whatever the size of ``probe``.
+    """
+    unsettled = list(df.columns)
+    while unsettled:
+        rows = known_values(df, unsettled).take(probe)
+        if not rows:
+            break
+        hit = [any(column) for column in zip(*rows)]
+        unsettled = [c for c, one in zip(unsettled, hit) if not one]
+    return [c for c in df.columns if c not in unsettled]
+
+
+def known_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Whether each of the columns has a value, for the rows where any has."""
+    known = [as_column(c).isNotNull() for c in columns]
+    return df.filter(reduce(Column.__or__, known)).select(*[k.alias(f"known{i}") for i, k in enumerate(known)])
+
+
 def without_empty(df: DataFrame) -> DataFrame:
     """Drops rows with no value at all, then columns with no value.
 
-    Which columns are empty decides the result's schema, so this runs one
-    aggregate (one row) at once; everything else stays lazy.
+    Which columns are empty decides the result's schema, so this is looked up at once (``columns_with_values``);
+    everything else stays lazy.
     """
-    columns = {c: as_column(c) for c in df.columns}
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns.values())]).first()
-    kept = [c for c, n in zip(columns.values(), counts) if n > 0]
+    kept = [as_column(c) for c in columns_with_values(df)]
     some = reduce(Column.__or__, [c.isNotNull() for c in kept], F.lit(False))
     return df.select(*kept).filter(some)
 

@@ -95,3 +95,34 @@ def test_a_failed_report_leaves_the_old_one(spark, frame, tmp_path):
         sheets.write_report(rows.withColumn("value", F.raise_error(F.lit("no value")).cast("long")), path)
     assert [r.value for r in spark.read.parquet(path).collect()] == [2]
     assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def _rows_of_scans(plan):
+    own = [int(plan.metrics().apply("numOutputRows").value())] if "Scan" in plan.nodeName() else []
+    children = plan.children()
+    return own + [n for i in range(children.size()) for n in _rows_of_scans(children.apply(i))]
+
+
+def test_columns_without_values_are_known_from_footers(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    late = F.when(F.col("id") == 29_999, F.col("id"))
+    spark.range(0, 30_000, 1, 6).select(
+        "id", late.alias("a.late"), F.lit(None).cast("string").alias("none"), F.lit(None).cast("double").alias("b c")
+    ).write.parquet(path)
+    table = spark.read.parquet(path)
+    assert sheets.columns_with_values(table) == ["id", "a.late"]
+    assert sheets.columns_with_values(table, probe=1) == ["id", "a.late"]
+    assert sheets.without_empty(table).columns == ["id", "a.late"]
+
+    empty = sheets.known_values(table, ["none", "b c"])
+    plan = empty._jdf.queryExecution().executedPlan()
+    assert plan.executeCollect() is not None
+    assert _rows_of_scans(plan) == [0]
+    assert "Or(IsNotNull(none),IsNotNull(`b c`))" in empty._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("schema", ["a int, b string", ""])
+def test_a_table_without_values_keeps_no_column(frame, schema):
+    rows = [(None, None), (None, None)] if schema else []
+    table = sheets.without_empty(frame(schema or "a int", *rows))
+    assert (table.columns, table.count()) == ([], 0)
