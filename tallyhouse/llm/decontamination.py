@@ -11,12 +11,13 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, projected, search_words
+from .common import map_rows, projected, search_words
 
 WINDOW = 10
 BLOCK = 3
@@ -114,8 +115,8 @@ def contamination(
 
     ``spans`` are merged word spans ``[start, stop)`` inside occurrences of windows, ``items`` the distinct ids, as
     sorted strings, of items with an occurring window (the text ``null`` stands for a null id). The benchmark is cut by a
-    hash of its rows into passes whose patterns have a bounded number of words; only one pass is held at a time, and
-    each pass goes over all documents without a shuffle. Null and empty texts have no words: such documents have no
+    hash of its rows into passes whose patterns have a bounded number of words; each pass goes over all documents, and
+    of further passes only the texts with hits are shuffled. Null and empty texts have no words: such documents have no
     spans, such items no windows. Repeated rows are each answered. Empty tables give no rows, or no spans. Other columns
     are ignored.
     """
@@ -148,25 +149,46 @@ def _searched(
     # Each word is in up to `window` patterns, and words take two characters at least with what parts them.
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, math.ceil(total / 2 * window / pass_words))
-    found = given
+    context = given.sparkSession.sparkContext
+    held = []
     for number in range(passes):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == number).collect()
-        held = [("null" if r[0] is None else r[0], r[1]) for r in part]
-        name = f"_hits{number}"
-        found = found.withColumn(name, _search(given.sparkSession.sparkContext.broadcast(held), window)("text"))
-        if number < passes - 1:
-            found = durable(found)
-    parts = [f"_hits{i}" for i in range(passes)]
+        held.append(context.broadcast([("null" if r[0] is None else r[0], r[1]) for r in part]))
+    found = given.withColumn("_hits", _search(held[0], window)("text"))
     if passes == 1:
-        return found.select("doc_id", "_hits0.n_words", "_hits0.spans", "_hits0.items")
+        return found.select("doc_id", "_hits.n_words", "_hits.spans", "_hits.items")
+    # What a text hits depends on the text alone: further passes send on texts with hits, by digest, and copies as one.
+    texts = given.select(F.sha2("text", 256).alias("digest"), "text")
+    hit = [F.first("spans").alias("spans"), F.first("items").alias("items")]
+    further = [_texts_with_hits(texts, h, window).groupBy("digest").agg(*hit) for h in held[1:]]
+    more = (
+        reduce(DataFrame.union, further)
+        .groupBy("digest")
+        .agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))
+    )
+    found = found.select("doc_id", "_hits", F.sha2("text", 256).alias("own")).join(more, F.col("own") == F.col("digest"), "left")
+    spans = F.concat("_hits.spans", F.coalesce("more_spans", F.slice("_hits.spans", 1, 0)))
+    items = F.concat("_hits.items", F.coalesce("more_items", F.slice("_hits.items", 1, 0)))
     return found.select(
-        "doc_id",
-        "_hits0.n_words",
-        _merged(F.concat(*(F.col(f"{p}.spans") for p in parts))).alias("spans"),
-        F.array_sort(F.array_distinct(F.concat(*(F.col(f"{p}.items") for p in parts)))).alias("items"),
+        "doc_id", "_hits.n_words", _merged(spans).alias("spans"), F.array_sort(F.array_distinct(items)).alias("items")
     )
 
 
+def _texts_with_hits(texts: DataFrame, held, window: int) -> DataFrame:
+    """``digest, spans, items`` of the texts (``digest, text``) in which a pass finds anything."""
+    machinery: list = []
+
+    def rows(given: Iterator[tuple]) -> Iterator[tuple]:
+        for digest, text in given:
+            if not machinery:
+                machinery.append(machines(held.value, window))
+            spans, ids = hits(search_words(text), machinery[0])
+            if spans:
+                yield digest, [{"start": a, "stop": b} for a, b in spans], sorted(ids)
+
+    return map_rows(texts, rows, "digest string, spans array<struct<start:int,stop:int>>, items array<string>")
+
+
 def _merged(spans):
     """Spans in order, those that touch or overlap as one."""
     first = F.slice(spans, 1, 0)

@@ -356,8 +356,10 @@ def test_contamination(spark, docs, rows):
     same(collected(decontamination.digest(decontamination.contamination(docs, benchmark))), expected)
     small = decontamination.contamination(docs, benchmark, pass_words=20_000)
     same(collected(decontamination.digest(small)), expected)
-    clean = decontamination.clean_documents(docs, benchmark)
-    same(collected(clean.select("doc_id")), [(e[0],) for e in expected if not e[-1]])
+    for pass_words in (decontamination.PASS_WORDS, 20_000):
+        clean = decontamination.clean_documents(docs, benchmark, pass_words=pass_words)
+        assert clean.columns == docs.columns
+        same(collected(clean.select("doc_id")), [(e[0],) for e in expected if not e[-1]])
 
 
 def test_copies_of_one_item_share_no_memory(spark):
@@ -799,8 +801,9 @@ def test_clashing_columns(clashing, spark):
     assert simhash.one_of_each(clashing).columns == clashing.columns
     assert simhash.one_of_each(clashing).count() == 1
     assert decontamination.contamination(clashing, benchmark).count() == 2
-    clean = decontamination.clean_documents(clashing, benchmark)
-    assert clean.columns == clashing.columns and clean.count() == 2
+    for pass_words in (decontamination.PASS_WORDS, 10):
+        clean = decontamination.clean_documents(clashing, benchmark, pass_words=pass_words)
+        assert clean.columns == clashing.columns and clean.count() == 2
     assert attribution.token_counts(clashing, attribution.first_line_and_body(F.col("text"))).count() == 6
     assert licenses.scanned(clashing).count() == 2
     deduplicated = lines.deduplicated(clashing)
