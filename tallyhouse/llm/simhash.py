@@ -26,6 +26,8 @@ BITS = 64
 BLOCKS = 4
 #: Buckets up to this size are compared by shifted copies of one array; larger ones by variants within the bucket.
 DENSE = 64
+#: Buckets over this size are dealt to several tasks before.
+SPLIT = 16_384
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
@@ -148,55 +150,102 @@ def _spanning(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _bucket_links(block: np.ndarray, variant: np.ndarray, value: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """Verified links ``(n, 2)`` within equal (block, variant) runs of sorted arrays."""
+def _runs(block: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal (block, variant) in sorted arrays."""
     change = (block[1:] != block[:-1]) | (variant[1:] != variant[:-1])
     starts = np.concatenate(([0], np.flatnonzero(change) + 1))
-    lengths = np.diff(np.append(starts, len(value)))
+    return starts, np.diff(np.append(starts, len(block)))
+
+
+def _bucket_links(
+    value: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int, dense: int, split: int | None
+) -> Iterator[np.ndarray]:
+    """Verified links ``(n, 2)`` within the runs of up to ``split`` values."""
     run, size = np.repeat(np.arange(len(starts)), lengths), np.repeat(lengths, lengths)
-    for shift in range(1, int(min(lengths.max(), DENSE))):
-        at = np.flatnonzero((run[shift:] == run[:-shift]) & (size[shift:] <= DENSE))
+    for shift in range(1, int(min(lengths.max(), dense))):
+        at = np.flatnonzero((run[shift:] == run[:-shift]) & (size[shift:] <= dense))
         a, b = value[at], value[at + shift]
         close = np.bitwise_count(a ^ b) <= radius
         if close.any():
             yield np.stack([a[close], b[close]], axis=1)
-    for k in np.flatnonzero(lengths > DENSE):
+    for k in np.flatnonzero((lengths > dense) & (lengths <= (split or lengths.max()))):
         members = value[starts[k] : starts[k] + lengths[k]]
         if links := _spanning(members, radius):
             a, b = np.array(links).T
             yield np.stack([members[a], members[b]], axis=1)
 
 
-def links(distinct: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:
-    """Distinct ``src < dst`` links between distinct fingerprints within ``radius`` bits, enough to connect all of them.
+def _verified(keyed: DataFrame, radius: int, dense: int, split: int | None) -> DataFrame:
+    """``src, dst, block, variant``: verified links within buckets of ``keyed`` (``block, variant, fingerprint``).
 
-    Small buckets give all their verified links, large ones a spanning forest, so the rows are linear in the
-    fingerprints. A bucket's size has a proven bound for an odd radius: its members agree outside one block up to
-    ``radius - 1`` bits, so with 16-bit blocks and radius 3 it has fewer than 49 x 65,536 distinct members.
+    The members of buckets over ``split`` come out as ``src``, with their bucket and without ``dst``.
     """
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("block", pa.int8()), ("variant", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def found(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for pairs in _bucket_links(*part, radius) if len(part[0]) else ():
-                low, high = pairs.view(np.int64).min(axis=1), pairs.view(np.int64).max(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], schema=schema)
-
+        def rows(*columns) -> pa.RecordBatch:
+            size = len(columns[0])
+            arrays = [pa.nulls(size, f.type) if c is None else pa.array(c, f.type) for c, f in zip(columns, schema)]
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+        def found(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            block, variant, value = (np.concatenate(x) for x in zip(*parts))
+            starts, lengths = _runs(block, variant)
+            for pairs in _bucket_links(value, starts, lengths, radius, dense, split):
+                signed = pairs.view(np.int64)
+                yield rows(signed.min(axis=1), signed.max(axis=1), None, None)
+            large = np.repeat(lengths > (split or lengths.max()), lengths)
+            if large.any():
+                yield rows(value[large].view(np.int64), None, block[large], variant[large])
+
+        held: list[list[np.ndarray]] = []  # of the last bucket, which may go on in the next batch
         for batch in batches:
+            if not batch.num_rows:
+                continue
             part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-            if held is not None:
-                part = [np.concatenate(x) for x in zip(held, part)]
-            same = (part[0] == part[0][-1]) & (part[1] == part[1][-1])
-            cut = len(same) - int(same.sum())  # the last bucket may go on in the next batch
-            yield from found([x[:cut] for x in part])
-            held = [x[cut:] for x in part]
-        if held is not None:
+            last = (part[0] == part[0][-1]) & (part[1] == part[1][-1])
+            cut = len(last) - int(last.sum())
+            if cut or held and (held[0][0][0], held[0][1][0]) != (part[0][0], part[1][0]):
+                yield from found([*held, [x[:cut] for x in part]])
+                held = []
+            held.append([x[cut:] for x in part])
+        if held:
             yield from found(held)
 
-    met = variants(distinct, radius, blocks).repartition("block", "variant").sortWithinPartitions("block", "variant")
-    return met.mapInArrow(verify, "src bigint, dst bigint").distinct()
+    dealt = keyed.repartition("block", "variant").sortWithinPartitions("block", "variant")
+    return dealt.mapInArrow(verify, "src bigint, dst bigint, block tinyint, variant bigint")
+
+
+def _dealt(members: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Members (``block, variant, fingerprint``) of large buckets, each in ``radius + 1`` smaller ones.
+
+    The bits in which a bucket's members may differ freely are parted in ``radius + 1`` ranges. Two members within the
+    radius agree in one of them at least, so they meet in the bucket of that range and its bits.
+    """
+    masks = []
+    for free, _ in _balls(radius, blocks):
+        bits = [b for b in range(BITS) if not free >> b & 1] or list(range(BITS))
+        ends = [round(i * len(bits) / (radius + 1)) for i in range(radius + 2)]
+        own = [sum(1 << b for b in bits[low:high]) for low, high in zip(ends, ends[1:])]
+        masks.append([m - (1 << BITS) if m >> (BITS - 1) else m for m in own])
+    literal = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in own]) for own in masks])
+    ranged = members.select("*", F.posexplode(literal[F.col("block").cast("int")]).alias("range", "mask"))
+    bits = F.col("fingerprint").bitwiseAND(F.col("mask"))
+    return ranged.select(F.col("range").cast("tinyint").alias("block"), F.xxhash64("block", "variant", "range", bits).alias("variant"), "fingerprint")
+
+
+def links(distinct: DataFrame, radius: int = 3, blocks: int = BLOCKS, dense: int = DENSE, split: int = SPLIT) -> DataFrame:
+    """Distinct ``src < dst`` links between distinct fingerprints within ``radius`` bits, enough to connect all of them.
+
+    Small buckets give all their verified links, large ones a spanning forest, so the rows are linear in the
+    fingerprints; buckets over ``split`` are dealt to several tasks by further bits. A bucket's size has a proven bound
+    for an odd radius: its members agree outside one block up to ``radius - 1`` bits, so with 16-bit blocks and radius 3
+    it has fewer than 49 x 65,536 distinct members, and one that was dealt fewer than 49 x 4,096.
+    """
+    first = durable(_verified(variants(distinct, radius, blocks), radius, dense, split).distinct())
+    members = first.where("block IS NOT NULL").select("block", "variant", F.col("src").alias("fingerprint"))
+    within = _verified(_dealt(members, radius, blocks), radius, dense, None)
+    return first.where("block IS NULL").select("src", "dst").union(within.select("src", "dst")).distinct()
 
 
 def near_duplicates(

@@ -283,11 +283,10 @@ def test_hash_is_the_same_as_sparks(spark):
     assert spark.sql("SELECT xxhash64('a b ç') AS h").first().h & (1 << 64) - 1 == xxhash.xxh64_intdigest("a b ç", 42)
 
 
-@pytest.mark.parametrize("dense", [2, 64])
-def test_links_connect_all_within_the_radius(spark, monkeypatch, dense):
-    monkeypatch.setattr(simhash, "DENSE", dense)
+@pytest.mark.parametrize("dense, split", [(2, 4), (2, 1000), (64, 1000), (16, 64)])
+def test_links_connect_all_within_the_radius(spark, dense, split):
     r = random.Random(dense)
-    values = set()
+    values = {sum(1 << b for b in r.sample(range(12, 30), r.choice([2, 4, 9, 13]))) for _ in range(400)}
     for _ in range(8):
         x = r.getrandbits(64)
         for _ in range(60):
@@ -295,10 +294,10 @@ def test_links_connect_all_within_the_radius(spark, monkeypatch, dense):
             x ^= sum(1 << b for b in r.sample(range(64), r.choice([1, 2, 3, 3, 4])))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed], "fingerprint bigint")
-    # The switch is read where links are made, in the workers: large buckets are tried directly.
     found = simhash._spanning(np.array(sorted(values), dtype=np.uint64), 3)
     assert all((sorted(values)[a] ^ sorted(values)[b]).bit_count() <= 3 for a, b in found)
-    pairs = collected(simhash.links(df))
+    pairs = collected(simhash.links(df, dense=dense, split=split))
+    assert len(pairs) == len(set(pairs))
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 and a < b for a, b in pairs)
     for links in ([(sorted(values)[a], sorted(values)[b]) for a, b in found], [(a % (1 << 64), b % (1 << 64)) for a, b in pairs]):
         parent = {v: v for v in values}
